@@ -43,34 +43,45 @@ class Index:
         self.place = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)  # where each vector stands in each array
         np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], 1)
 
-    def search(self, own: int, query: np.ndarray, k: int, first: float, width: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, queries: np.ndarray, first: float, width: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each radius, doubled while windows can miss a vector: where every query's window begins and ends in every array."""
+        norms = np.sqrt((queries * queries).sum(1))
+        centres = ((queries / norms[:, None]) @ self.directions[:-1]).T
+        out, radius = [], first
+        while radius < 2 and radius * width / 2 < 4 * math.sqrt(2):  # no vector is further off than 2
+            half = radius * width / 2
+            lo, hi = (np.stack([v.searchsorted(c + d, side) for v, c in zip(self.sorted, centres, strict=True)], 1) for d, side in ((-half, "left"), (half, "right")))
+            out.append((radius, lo, hi - lo))
+            radius *= 2
+        return out
+
+    def search(self, number: int, own: int, query: np.ndarray, windows: list, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best verified vectors but the one of id own, best first, ties by id."""
         n, m = len(self.ids), len(self.sorted)
         norm = math.sqrt(float((query * query).sum()))
-        centre = (query / norm) @ self.directions[:-1]
         pending, scores = self.ids != own, np.full(n, -np.inf)
-        need, radius = min(k, int(pending.sum())), first
-        count, shifted, inside = np.empty(n, np.uint16), np.empty(n, self.place.dtype), np.empty(n, bool)
-        while need:
-            if radius * width / 2 >= 4 * math.sqrt(2) or radius > 4:  # every vector is within distance 2
-                met = pending
+        need = min(k, int(pending.sum()))
+        count, shifted, inside = np.empty(n, np.uint8 if m < 256 else np.uint16), np.empty(n, self.place.dtype), np.empty(n, bool)
+        ones = inside.view(np.uint8)
+        for radius, lo, size in [*windows, (None, None, None)]:
+            if not need:
+                break
+            if radius is None:
+                met = pending  # the windows hold everything
             else:
                 count[:] = 0
-                half = radius * width / 2
-                for place, values, c in zip(self.place, self.sorted, centre.tolist(), strict=True):
-                    lo, hi = int(values.searchsorted(c - half)), int(values.searchsorted(c + half, "right"))
-                    np.subtract(place, place.dtype.type(lo), out=shifted)  # wraps below the window
-                    np.less(shifted, hi - lo, out=inside)
-                    np.add(count, inside, out=count)
+                for place, a, held in zip(self.place, lo[number].tolist(), size[number].tolist(), strict=True):
+                    np.subtract(place, a, out=shifted)  # wraps below the window
+                    np.less(shifted, held, out=inside)
+                    np.add(count, ones, out=count)
                 met = (count >= threshold * m) & pending
             new = np.flatnonzero(met)
             if len(new):
                 scores[new] = inner_products(self.vectors[new], query)
                 pending = pending & ~met
-            enough = 1 - radius * radius / 2  # the cosine, in the longer space, at this distance
-            if met is pending or not pending.any() or int((scores >= enough * self.greatest * norm).sum()) >= need:
+            enough = 1 - (radius or 2) ** 2 / 2  # the cosine, in the longer space, at this distance
+            if not pending.any() or int((scores >= enough * self.greatest * norm).sum()) >= need:
                 break
-            radius *= 2
         found = np.flatnonzero(scores > -np.inf)
         if len(found) > k:
             kth = np.partition(scores[found], len(found) - k)[len(found) - k]
@@ -90,7 +101,7 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     return fine.where(F.size(vector) == (size["size"] if size else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", projections: int = 128, width: float = 2.1, threshold: float = 0.665, first: float = 0.15, block: int = 16_384, query_block: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", projections: int = 128, width: float = 2.1, threshold: float = 0.665, first: float = 0.3, block: int = 16_384, query_block: int = 4096, seed: int = 7) -> DataFrame:
     """(query_id, rank, <key>, score): each query's k nearest found by inner product, nearest first, ties to the smaller key.
 
     queries: some of the rows of vectors, with the same columns. A query's own key is no candidate. Vectors that are
@@ -123,9 +134,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         out: list[tuple] = []
         if own.any() and asks.any():
             index = Index(ids[own], values[own], greatest, projections, seed)
-            for query, at in zip(ids[asks].tolist(), values[asks], strict=True):
-                found, scores = index.search(query, at, k, first, width, threshold)
-                out.append((np.full(len(found), query), found, scores))
+            names, points = ids[asks], values[asks]
+            for begin in range(0, len(names), 256):
+                windows = index.windows(points[begin : begin + 256], first, width)
+                for i, (query, at) in enumerate(zip(names[begin : begin + 256].tolist(), points[begin : begin + 256], strict=True)):
+                    found, scores = index.search(i, query, at, windows, k, threshold)
+                    out.append((np.full(len(found), query), found, scores))
         columns = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, t) for c, t in enumerate((ids.dtype, ids.dtype, np.float64))]
         return pa.table(dict(zip(("query_id", key, "score"), columns, strict=True)))
 
