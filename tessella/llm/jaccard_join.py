@@ -22,7 +22,8 @@ from tessella.llm.cluster import partitions, ship, written
 from tessella.llm.components import components
 from tessella.llm.textnum import U
 
-SMALL, BLOCK, BITS = 12, 512, 1024
+SMALL, BLOCK = 6, 512
+BROADCAST_ROWS = 500_000  # ids and numbers of 16 bytes each
 ORDERS = (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93)  # besides the first
 TOKEN = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4")])
 
@@ -57,10 +58,43 @@ def set_ids(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return textnum.mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(U) * U(0xA24BAED4963EE407)).view(np.int64)
 
 
-def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(offsets) - 1, BITS), bool)
-    out[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), (values % U(BITS)).astype(np.int64)] = True
-    return np.packbits(out, axis=1)
+def bitmaps(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of a power of two of bits, four or more a value, so that long sets don't fill theirs."""
+    n = np.diff(offsets)
+    size = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(4 * n, 1)))).astype(np.int64)
+    begin = np.cumsum(size) - size
+    bits = np.zeros(int(size.sum()), bool)
+    bits[np.repeat(begin, n) + (values & np.repeat(size - 1, n).astype(U)).astype(np.int64)] = True
+    data = np.packbits(bits, bitorder="little").tobytes()
+    return [data[a // 8 : (a + m) // 8] for a, m in zip(begin.tolist(), size.tolist(), strict=True)]
+
+
+class Bitmaps:
+    """Bitmaps by size; a larger one folds to a smaller by uniting its halves."""
+
+    def __init__(self, each: list[bytes]):
+        self.size = np.array([len(x) for x in each], np.int64)
+        self.row = np.zeros(len(each), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.row[at] = np.arange(len(at))
+            self.of[size] = np.frombuffer(b"".join(each[i] for i in at), np.uint64).reshape(len(at), size // 8)
+
+    def only(self, other: Bitmaps, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many bits only the one, and only the other, of each pair has."""
+        left, right = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        both = self.size[i] * (1 << 32) + other.size[j]
+        for kind in np.unique(both).tolist():
+            at = np.flatnonzero(both == kind)
+            for at in np.array_split(at, max(1, len(at) * (kind & 0xFFFFFFFF) >> 24)):
+                a, b = self.of[kind >> 32][self.row[i[at]]], other.of[kind & 0xFFFFFFFF][other.row[j[at]]]
+                while a.shape[1] > b.shape[1]:
+                    a = a[:, : a.shape[1] // 2] | a[:, a.shape[1] // 2 :]
+                while b.shape[1] > a.shape[1]:
+                    b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
+                left[at], right[at] = np.bitwise_count(a & ~b).sum(1, np.int64), np.bitwise_count(b & ~a).sum(1, np.int64)
+        return left, right
 
 
 class Joiner:
@@ -94,7 +128,7 @@ class Joiner:
             values, offsets = shingles(part.column(text), self.k)
             ids, n, kind = set_ids(values, offsets), np.diff(offsets), part.schema.field(key).type
             rows = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int32)), pa.array(ids), pa.array([x.tobytes() for x in bitmaps(values, offsets)], pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int32)), pa.array(ids), pa.array(bitmaps(values, offsets), pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
             new = self.first_met(ids, n, met)
             nodes += len(new)
             pending.append(values[textnum.ranges(offsets[new], n[new])])
@@ -117,14 +151,15 @@ class Joiner:
         return np.array(out, np.int64)
 
     def prefixes(self, parts, text: str, frequent: np.ndarray, buckets: int):
-        """Prefix tokens under the first order, packed by bucket; bucket -1: the frequent ones."""
+        """Prefix tokens under the first order, packed by bucket; the frequent ones in negative buckets that need not stay together."""
         pending, met = [], set()
 
         def flush():
             rows = np.concatenate(pending)
             where = np.minimum(np.searchsorted(frequent, rows["token"]), max(len(frequent) - 1, 0))
             often = frequent[where] == rows["token"] if len(frequent) else np.zeros(len(rows), bool)
-            bucket = np.where(often, -1, (textnum.mix(rows["token"]) % U(buckets)).astype(np.int64))
+            bucket = (textnum.mix(rows["token"] ^ np.where(often, rows["node"].view(U), U(0))) % U(buckets)).astype(np.int64)
+            bucket = np.where(often, -1 - bucket, bucket)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)]]) if len(rows) else np.zeros(1, np.int64)
@@ -156,9 +191,17 @@ class Joiner:
             yield flush()
 
     def groups(self, parts):
-        """Of rows sorted by bucket: candidate pairs of the bucket's tokens, and the members of its large groups: rows (a, b, null) and (node, null, token)."""
-        def of(pending: list[bytes]):
+        """Of rows sorted by bucket: candidate pairs of the bucket's tokens, and the members of its large groups: rows (a, b, null) and (node, null, token).
+
+        Frequent tokens of a negative bucket come back as rows (node, null, token, size of its set).
+        """
+        names = ["a", "b", "token", "n"]
+
+        def of(pending: list[bytes], frequent: bool):
             rows = np.unique(np.frombuffer(b"".join(pending), TOKEN))
+            if frequent:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["node"])), pa.nulls(len(rows), pa.int64()), pa.array(np.ascontiguousarray(rows["token"]).view(np.int64)), pa.array(np.ascontiguousarray(rows["n"]))], names)
+                return
             new = np.ones(len(rows), bool)
             new[1:] = rows["token"][1:] != rows["token"][:-1]
             begin = np.flatnonzero(new)
@@ -176,19 +219,33 @@ class Joiner:
             fits = self.alike_in_size(rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64))
             pairs = np.stack([rows["node"][a[fits]], rows["node"][b[fits]]], 1)
             pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0) if len(pairs) else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(pairs), pa.int64())], ["a", "b", "token"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["node"][member])), pa.nulls(len(member), pa.int64()), pa.array(np.ascontiguousarray(rows["token"][member]).view(np.int64))], ["a", "b", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["node"][member])), pa.nulls(len(member), pa.int64()), pa.array(np.ascontiguousarray(rows["token"][member]).view(np.int64)), pa.nulls(len(member), pa.int32())], names)
 
         at, pending = None, []
         for part in parts:
             for bucket, data in zip(part.column("bucket").to_pylist(), part.column("data").to_pylist(), strict=True):
                 if bucket != at and pending:
-                    yield from of(pending)
+                    yield from of(pending, at < 0)
                     pending = []
                 at = bucket
                 pending.append(data)
         if pending:
-            yield from of(pending)
+            yield from of(pending, at < 0)
+
+    def may_link(self, na: np.ndarray, nb: np.ndarray, only_a: np.ndarray, only_b: np.ndarray) -> np.ndarray:
+        """False where the sizes, or the bits that only one of the bitmaps has, rule a link out. A link always passes."""
+        need = self.least_overlap(na, nb)
+        return self.alike_in_size(na, nb) & (only_a <= na - need) & (only_b <= nb - need)
+
+    def sift(self, parts):
+        """Of rows (a, b, na, nb, bits_a, bits_b) the pairs that may link."""
+        for part in parts:
+            a, b = (Bitmaps(part.column(c).to_pylist()) for c in ("bits_a", "bits_b"))
+            na, nb = (part.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            each = np.arange(part.num_rows)
+            passed = pa.array(self.may_link(na, nb, *a.only(b, each, each)))
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(passed) for c in ("a", "b")], ["a", "b"])
 
     def verify(self, parts):
         """Of rows (a, b, text_a, text_b) those that share prefix tokens under every other order and then overlap enough."""
@@ -217,22 +274,17 @@ class Joiner:
 
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         left, right = frame[frame["block"] == i], frame[frame["block"] == j]
-        a, b = (np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1) for x in (left, right))
+        a, b = Bitmaps(left["bits"].tolist()), Bitmaps(right["bits"].tolist())
         na, nb = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
-        least = self.least_overlap(na[:, None], nb[None, :])
         passed = (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]) & self.alike_in_size(na[:, None], nb[None, :])
         x, y = np.nonzero(passed)
-        for at in range(0, max(len(x), 1), 1 << 16):
-            p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-            need = least[p, q]
-            only_a, only_b = np.bitwise_count(a[p] & ~b[q]).sum(1), np.bitwise_count(b[q] & ~a[p]).sum(1)
-            passed[p, q] = (only_a <= na[p] - need) & (only_b <= nb[q] - need)
-        x, y = np.nonzero(passed)
+        good = self.may_link(na[x], nb[y], *a.only(b, x, y))
+        x, y = x[good], y[good]
         u, v = left["node"].to_numpy()[x], right["node"].to_numpy()[y]
         return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, frequent: float = 0.001) -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, frequent: float = 0.0003) -> DataFrame:
     """(key, n_shingles, component_id) for every row of docs: similar texts are linked, component_id is the smallest key reachable.
 
     Texts are linked when 100 * intersection >= percent * union of their sets of distinct k-word shingles, A-Z
@@ -255,31 +307,26 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     often = table.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= max(8.0, totals["docs"] * frequent))
     frequent_tokens = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in often.select("token").toLocalIterator()], np.int64).view(U)))
     buckets = max(partitions(spark), int((totals["tokens"] or 0) // 1_000_000) + 1)
-    packed = written(docs.mapInArrow(lambda parts: join.prefixes(parts, text, frequent_tokens.value, buckets), "bucket int, data binary"), "prefixes")
-
-    gathered = packed.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = written(gathered.mapInArrow(join.groups, "a bigint, b bigint, token bigint"), "candidates")
-
-    def unpack(parts):
-        for part in parts:
-            for data in part.column("data"):
-                x = np.frombuffer(data.as_py(), TOKEN)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["token"]).view(np.int64)), pa.array(np.ascontiguousarray(x["node"])), pa.array(np.ascontiguousarray(x["n"]))], ["token", "node", "n"])
-
-    hot = written(packed.where("bucket < 0").mapInArrow(unpack, "token bigint, node bigint, n int").distinct(), "frequent")
+    packed = docs.mapInArrow(lambda parts: join.prefixes(parts, text, frequent_tokens.value, buckets), "bucket int, data binary")
+    gathered = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = written(gathered.mapInArrow(join.groups, "a bigint, b bigint, token bigint, n int"), "candidates")
+    hot = found.where("n is not null").select("token", F.col("a").alias("node"), "n").distinct()
     pivots = hot.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"))
     pivots = F.broadcast(pivots.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")))  # no more than the frequent tokens
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("node") != F.col("pivot"))
     stars = hot.join(pivots, "token").where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     candidates = found.where("token is null").select("a", "b").unionByName(stars).distinct()
-    members = found.where("token is not null").select("token", F.col("a").alias("node")).unionByName(hot.select("token", "node")).distinct()
+    members = found.where("token is not null").select("token", F.col("a").alias("node")).distinct()
 
-    reps = rows.where("n > 0").groupBy("node").agg(F.min(key).alias("_rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    reps = written(rows.where("n > 0").groupBy("node").agg(F.min(key).alias("_rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "_rep"), "node")
-        texts = written(docs.withColumnRenamed(key, "_rep").join(wanted, "_rep").groupBy("node").agg(F.min(text).alias("text")), "texts")
+        side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(join.sift, "a bigint, b bigint"), "pairs")
+        wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "_rep"), "node"), "wanted")
+        small = wanted.count() <= BROADCAST_ROWS  # else the documents are shuffled
+        texts = docs.withColumnRenamed(key, "_rep").join(F.broadcast(wanted) if small else wanted, "_rep")
+        texts = written(texts.groupBy("node").agg(F.min(text).alias("text")), "texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return written(both.mapInArrow(join.verify, "a bigint, b bigint"), "verified")
 
