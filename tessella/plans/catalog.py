@@ -1,4 +1,363 @@
-"""Registered queries and their SQL."""
+"""Registered queries over virtual slides, each beside its SQL. The operators are those of the image path."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import colour, geometry, tags
+from tessella.functions.geometry import base_pixels, int_div, tiles_across, whole_pixels, window_count
+from tessella.operators import grid, reports, tissue
+from tessella.plans import virtual as v
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+LEAST, TARGET = 0.5, (60.0, 15.0, 10.0, 20.0, 10.0, 8.0)  # kept fraction; Lab means and deviations that stains are normalised to
+BIG = "bigint"
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid parameters of every level with microns per pixel: windows of 512 um, stride 384 um."""
+    lv = v.levels(spark, sf_dir).where("mpp is not null").withColumn("level_mpp", F.col("mpp") * F.col("ds"))
+    return lv.withColumns({"window_px": whole_pixels(F.lit(512.0) / F.col("level_mpp")), "stride_px": whole_pixels(F.lit(384.0) / F.col("level_mpp"))})
+
+
+_GRID = v.V_LEVELS + """, g as (select *, mpp * ds as level_mpp from v_levels where mpp is not null),
+grid as (select *, greatest(1, floor(512.0::double / level_mpp + 1e-6))::bigint as window_px, greatest(1, floor(384.0::double / level_mpp + 1e-6))::bigint as stride_px from g),
+sized as (select *, case when window_px > lw then 0 else (lw - window_px) // stride_px + 1 end as cols, case when window_px > lh then 0 else (lh - window_px) // stride_px + 1 end as rws from grid)"""
+
+
+@query(f"with {v.V_LEVELS} select slide, level, x::bigint as tile_x, y::bigint as tile_y from v_levels, unnest(range(0, (lh + t - 1) // t)) as b(y), unnest(range(0, (lw + t - 1) // t)) as a(x)")
+def tile_coords(spark, sf_dir):
+    return grid.cells(v.levels(spark, sf_dir), tiles_across("lw", "t"), tiles_across("lh", "t")).select("slide", "level", "tile_x", "tile_y")
+
+
+@query(f"with {_GRID} select slide, level, ((lw + t - 1) // t)::bigint as tiles_x, ((lh + t - 1) // t)::bigint as tiles_y, window_px, stride_px, cols::bigint as cols, rws::bigint as n_rows from sized")
+def tile_grid_counts(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return g.select("slide", "level", tiles_across("lw", "t").alias("tiles_x"), tiles_across("lh", "t").alias("tiles_y"), "window_px", "stride_px", window_count("lw", "window_px", "stride_px").alias("cols"), window_count("lh", "window_px", "stride_px").alias("n_rows"))
+
+
+@query(f"""with {_GRID} select slide, level, x::bigint as tile_x, y::bigint as tile_y, floor(x * stride_px * ds + 0.5)::bigint as origin_x, floor(y * stride_px * ds + 0.5)::bigint as origin_y,
+  floor(window_px * ds + 0.5)::bigint as footprint from sized, unnest(range(0, rws)) as b(y), unnest(range(0, cols)) as a(x)""")
+def grid_windows(spark, sf_dir):
+    g = grid.cells(_grid(spark, sf_dir), window_count("lw", "window_px", "stride_px"), window_count("lh", "window_px", "stride_px"))
+    return g.select("slide", "level", "tile_x", "tile_y", base_pixels(F.col("tile_x") * F.col("stride_px"), "ds").alias("origin_x"), base_pixels(F.col("tile_y") * F.col("stride_px"), "ds").alias("origin_y"), base_pixels("window_px", "ds").alias("footprint"))
+
+
+_TILES = v.V_LEVELS + """, tiles as (select v_levels.*, x::bigint as tile_x, y::bigint as tile_y, (lw + t - 1) // t as tx from v_levels, unnest(range(0, (lh + t - 1) // t)) as b(y), unnest(range(0, (lw + t - 1) // t)) as a(x))"""
+
+
+def _tiles(spark, sf_dir):
+    return grid.cells(v.levels(spark, sf_dir), tiles_across("lw", "t"), tiles_across("lh", "t"))
+
+
+@query(f"with {_TILES} select slide, level, tile_x, tile_y, least(greatest(lw - tile_x * t, 0), t)::bigint as valid_w, least(greatest(lh - tile_y * t, 0), t)::bigint as valid_h from tiles")
+def valid_tile_dims(spark, sf_dir):
+    return _tiles(spark, sf_dir).select("slide", "level", "tile_x", "tile_y", geometry.valid_side("lw", "tile_x", "t").alias("valid_w"), geometry.valid_side("lh", "tile_y", "t").alias("valid_h"))
+
+
+@query(f"""with {_TILES}, directory as (select slide, level, i as tile_index, i * 1000 + slide as byte_offset from v_levels, unnest(range(0, ((lw + t - 1) // t) * ((lh + t - 1) // t))) as u(i))
+select tiles.slide, tiles.level, tile_x, tile_y, tile_index::bigint as tile_index, byte_offset::bigint as byte_offset from tiles join directory d on d.slide = tiles.slide and d.level = tiles.level and d.tile_index = tile_y * tx + tile_x""")
+def tile_index_lookup(spark, sf_dir):
+    lv = v.levels(spark, sf_dir)
+    index = lv.select("slide", "level", F.explode(F.sequence(F.lit(0).cast(BIG), tiles_across("lw", "t") * tiles_across("lh", "t") - 1)).alias("tile_index"))
+    directory = index.withColumn("byte_offset", F.col("tile_index") * 1000 + F.col("slide"))
+    tiles = _tiles(spark, sf_dir).withColumn("tile_index", F.col("tile_y") * tiles_across("lw", "t") + F.col("tile_x"))
+    return tiles.join(directory, ["slide", "level", "tile_index"]).select("slide", "level", "tile_x", "tile_y", "tile_index", "byte_offset")
+
+
+@query(f"""with {_TILES}, o as (select slide, level, tile_x, tile_y, floor(tile_x * t * ds + 0.5)::bigint as origin_x, floor(tile_y * t * ds + 0.5)::bigint as origin_y, floor(t * ds + 0.5)::bigint as footprint from tiles)
+select *, origin_x + footprint // 2 as loc_x, origin_y + footprint // 2 as loc_y from o""")
+def tile_origins_centres(spark, sf_dir):
+    o = _tiles(spark, sf_dir).select("slide", "level", "tile_x", "tile_y", base_pixels(F.col("tile_x") * F.col("t"), "ds").alias("origin_x"), base_pixels(F.col("tile_y") * F.col("t"), "ds").alias("origin_y"), base_pixels("t", "ds").alias("footprint"))
+    return o.withColumns({"loc_x": F.col("origin_x") + int_div("footprint", 2), "loc_y": F.col("origin_y") + int_div("footprint", 2)})
+
+
+_TARGET = "cast(slide % 100 + 1 as double) / cast(10 as double)"
+
+
+@query(f"""with {v.V_LEVELS}, f as (select slide, level, t, case when mpp is null then null else mpp * ds / ({_TARGET}) end as factor from v_levels)
+select slide, level, case when factor is null or abs(factor - 1) <= 1e-3 then t else greatest(1, floor(t * factor + 0.5)) end::bigint as side, round(factor, 6) as factor from f""")
+def resize_plan(spark, sf_dir):
+    lv = v.levels(spark, sf_dir).withColumn("factor", F.col("mpp") * F.col("ds") / ((F.col("slide") % 100 + 1).cast("double") / 10))
+    return lv.select("slide", "level", geometry.resized_side("t", "factor").alias("side"), F.round("factor", 6).alias("factor"))
+
+
+@query(f"""with {v.V_LEVELS}, m as (select slide, level, mpp * ds as m, {_TARGET} as t from v_levels),
+r as (select *, row_number() over (partition by slide order by (m <= t) desc, case when m <= t then -m else m end, case when m <= t then -level else level end) as rn from m)
+select slide, case when m is null then null else level end::int as best_level from r where rn = 1""")
+def best_level(spark, sf_dir):
+    lv = v.levels(spark, sf_dir).select("slide", "level", (F.col("mpp") * F.col("ds")).alias("mpp"), ((F.col("slide") % 100 + 1).cast("double") / 10).alias("target"))
+    return grid.best_level(lv, "slide", F.col("target"))
+
+
+@query(f"""with {_GRID}, wins as (select sized.*, x, y from sized, unnest(range(0, rws)) as b(y), unnest(range(0, cols)) as a(x) where level > 0)
+select slide, level, count(*)::bigint as pairs, count(distinct (nx, ny))::bigint as native_tiles from wins,
+  unnest(range(x * stride_px // t, (x * stride_px + window_px - 1) // t + 1)) as c(nx), unnest(range(y * stride_px // t, (y * stride_px + window_px - 1) // t + 1)) as d(ny) group by all""")
+def window_native_overlap(spark, sf_dir):
+    g = grid.cells(_grid(spark, sf_dir).where("level > 0"), window_count("lw", "window_px", "stride_px"), window_count("lh", "window_px", "stride_px"))
+    g = g.withColumns({"x": F.col("tile_x") * F.col("stride_px"), "y": F.col("tile_y") * F.col("stride_px")})
+    met = grid.overlapped(g, "x", "y", F.col("window_px"), F.col("window_px"), "t", "t")
+    native = met.groupBy("slide", "level", "native_x", "native_y").agg(F.count(F.lit(1)).alias("n"))  # each native tile once
+    return native.groupBy("slide", "level").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("native_tiles"))
+
+
+@query(f"""with {v.V_LEVELS}, r as (select *, slide % 700 as x, slide % 500 as y, 300 + slide % 90 as rw, 200 + slide % 70 as rh from v_levels)
+select slide, level, nx::bigint as native_x, ny::bigint as native_y from r, unnest(range(x // t, least((x + rw - 1) // t, (lw + t - 1) // t - 1) + 1)) as a(nx), unnest(range(y // t, least((y + rh - 1) // t, (lh + t - 1) // t - 1) + 1)) as b(ny)""")
+def region_tiles(spark, sf_dir):
+    s = F.col("slide")
+    r = v.levels(spark, sf_dir).withColumns({"x": s % 700, "y": s % 500, "rw": 300 + s % 90, "rh": 200 + s % 70})
+    return grid.overlapped(r, "x", "y", F.col("rw"), F.col("rh"), "t", "t", (tiles_across("lw", "t"), tiles_across("lh", "t"))).select("slide", "level", "native_x", "native_y")
+
+
+_LAST = "list_filter(list_transform(string_split(description, '|'), lambda x: trim(x)), lambda x: starts_with(x, '{0} = '))[-1][{1}:]"
+
+
+@query(f"with {v.V_DESCRIPTIONS} select slide, try_cast({_LAST.format('AppMag', 10)} as float) as app_mag, try_cast({_LAST.format('MPP', 7)} as double) as mpp from v_descriptions")
+def parse_description(spark, sf_dir):
+    return v.descriptions(spark, sf_dir).select("slide", tags.described("description", "AppMag", "float").alias("app_mag"), tags.described("description", "MPP", "double").alias("mpp"))
+
+
+@query(f"""with {v.V_DESCRIPTIONS}, k as (select slide, case when contains(lower(description), 'label') then 'Label' when contains(lower(description), 'macro') then 'Macro' when tile_w is not null then 'PyramidLevel' else 'Thumbnail' end as kind from v_descriptions)
+select slide, kind, kind = 'PyramidLevel' as is_level from k""")
+def classify_ifd(spark, sf_dir):
+    k = v.descriptions(spark, sf_dir).select("slide", tags.classify_ifd("description", F.col("tile_w").isNotNull()).alias("kind"))
+    return k.withColumn("is_level", F.col("kind") == "PyramidLevel")
+
+
+@query(f"with {v.V_PIXELS} select slide, intensity::int as intensity, count(*)::bigint as n from v_pixels group by all")
+def gray_histogram(spark, sf_dir):
+    return tissue.histogram(v.pixels(spark, sf_dir), ["slide"])
+
+
+_PIXEL_OTSU = v.V_PIXELS + ", hist as (select slide, intensity, count(*) as n from v_pixels group by all), " + v.otsu_sql("otsu", "hist", "slide")
+_FRACTION = _PIXEL_OTSU + """, tile as (select p.slide, tile_x, tile_y, threshold, (count(*) filter (intensity <= threshold))::float / count(*)::float as tissue_fraction
+  from v_pixels p join otsu using (slide) group by all)"""
+
+
+@query(f"with {_PIXEL_OTSU} select slide, threshold from otsu")
+def otsu_threshold(spark, sf_dir):
+    return tissue.otsu(tissue.histogram(v.pixels(spark, sf_dir), ["slide"]), ["slide"])
+
+
+def _fractions(spark, sf_dir):
+    """One pass over the pixels: tiles' histograms, summed into the slides'."""
+    tiles = tissue.histogram(v.pixels(spark, sf_dir), ["slide", "tile_x", "tile_y"])
+    slide = tiles.groupBy("slide", "intensity").agg(F.sum("n").alias("n"))
+    return tissue.tissue_fraction(tiles, tissue.otsu(slide, ["slide"]), ["slide", "tile_x", "tile_y"], ["slide"])
+
+
+@query(f"with {_FRACTION} select slide, tile_x, tile_y, threshold, round(tissue_fraction::double, 6) as tissue_fraction from tile")
+def tile_tissue_fraction(spark, sf_dir):
+    return _fractions(spark, sf_dir).select("slide", "tile_x", "tile_y", "threshold", F.round(F.col("tissue_fraction").cast("double"), 6).alias("tissue_fraction"))
+
+
+@query(f"with {_FRACTION} select slide, threshold, count(*)::bigint as total, (count(*) filter (tissue_fraction >= {LEAST}::float))::bigint as kept, (count(*) filter (tissue_fraction < {LEAST}::float))::bigint as dropped from tile group by all")
+def tissue_filter(spark, sf_dir):
+    return tissue.counts(_fractions(spark, sf_dir).withColumn("kept", tissue.keep("tissue_fraction", LEAST)), ["slide", "threshold"])
+
+
+_OVER = v.V_OVERVIEW + ", ohist as (select slide, g as intensity, count(*) as n from v_overview group by all), " + v.otsu_sql("othr", "ohist", "slide") + """,
+rects as (select distinct slide, tile_x * 8 as x, tile_y * 8 as y from v_gray),
+spans as (select *, least(floor(x::double * 0.125), 7)::bigint as lox, least(floor(y::double * 0.125), 7)::bigint as loy from rects),
+spans2 as (select *, least(greatest(ceil((x + 12)::double * 0.125)::bigint, lox + 1), 8) as hix, least(greatest(ceil((y + 12)::double * 0.125)::bigint, loy + 1), 8) as hiy from spans),
+ofrac as (select s.slide, x, y, case when count(g) = 0 then 1.0 else (count(*) filter (g <= threshold))::float / count(g)::float end::float as overview_fraction
+  from spans2 s left join v_overview o on o.slide = s.slide and ox >= lox and ox < hix and oy >= loy and oy < hiy left join othr h on h.slide = s.slide group by all)"""
+
+
+def _overview_fractions(spark, sf_dir):
+    """12-pixel rectangles at the tiles' places over an overview at an eighth."""
+    o = v.overview(spark, sf_dir)
+    thresholds = tissue.otsu(tissue.histogram(o, ["slide"], "g"), ["slide"])
+    rects = v.gray(spark, sf_dir).select("slide", (F.col("tile_x") * 8).alias("x"), (F.col("tile_y") * 8).alias("y")).distinct()
+    rects = rects.withColumns({"w": F.lit(12).cast(BIG), "h": F.lit(12).cast(BIG), "sx": F.lit(8), "sy": F.lit(8)})
+    return tissue.overview_fraction(rects, o.join(thresholds, "slide"), ("sx", "sy"), (0.125, 0.125))
+
+
+@query(f"with {_OVER} select slide, x, y, round(overview_fraction::double, 6) as overview_fraction from ofrac")
+def overview_fraction(spark, sf_dir):
+    return _overview_fractions(spark, sf_dir).select("slide", "x", "y", F.round(F.col("overview_fraction").cast("double"), 6).alias("overview_fraction"))
+
+
+@query(f"""with {_OVER}, full_ as (select g.slide, tile_x * 8 as x, tile_y * 8 as y, (count(*) filter (intensity <= threshold))::float / count(*)::float as f from v_gray g join othr using (slide) group by all),
+e as (select slide, x, y, overview_fraction >= {LEAST}::float as first, f >= {LEAST}::float as second from ofrac join full_ using (slide, x, y))
+select slide, count(*)::bigint as total, (count(*) filter (first and second))::bigint as kept, (count(*) filter (not first))::bigint as dropped_1, (count(*) filter (first and not second))::bigint as dropped_2 from e group by slide""")
+def two_stage_filter(spark, sf_dir):
+    rects = _overview_fractions(spark, sf_dir).withColumn("first", tissue.keep("overview_fraction", LEAST))
+    o = v.overview(spark, sf_dir)
+    thresholds = tissue.otsu(tissue.histogram(o, ["slide"], "g"), ["slide"])
+    tiles = v.gray(spark, sf_dir).withColumns({"x": F.col("tile_x") * 8, "y": F.col("tile_y") * 8})
+    survivors = tiles.join(rects.where("first").select("slide", "x", "y"), ["slide", "x", "y"], "left_semi")  # pixels of others are never counted
+    full = tissue.tissue_fraction(tissue.histogram(survivors, ["slide", "x", "y"]), thresholds, ["slide", "x", "y"], ["slide"])
+    second = full.select("slide", "x", "y", tissue.keep("tissue_fraction", LEAST).alias("second"))
+    e = rects.join(second, ["slide", "x", "y"], "left")
+    return e.groupBy("slide").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("first") & F.col("second")).alias("kept"), F.count_if(~F.col("first")).alias("dropped_1"), F.count_if(F.col("first") & ~F.col("second")).alias("dropped_2"))
+
+
+@query(f"""with {v.V_GRAY}, hist as (select slide, tile_x, tile_y, intensity, count(*) as n from v_gray group by all), {v.otsu_sql('own', 'hist', 'slide, tile_x, tile_y')}
+select slide, tile_x, tile_y, threshold, round(((sum(n) filter (intensity <= threshold))::float / sum(n)::float)::double, 6) as tissue_fraction from hist join own using (slide, tile_x, tile_y) group by all""")
+def per_tile_own_otsu(spark, sf_dir):
+    keys = ["slide", "tile_x", "tile_y"]
+    hist = tissue.histogram(v.gray(spark, sf_dir), keys)
+    return tissue.tissue_fraction(hist, tissue.otsu(hist, keys), keys, keys).withColumn("tissue_fraction", F.round(F.col("tissue_fraction").cast("double"), 6))
+
+
+def _lin(c: str) -> str:
+    return f"case when {c} / 255.0::double <= 0.04045 then {c} / 255.0::double / 12.92 else power(({c} / 255.0::double + 0.055) / 1.055, 2.4::double) end"
+
+
+def _f(row: int) -> str:
+    m = colour.TO_XYZ[row]
+    t = f"((lr * {m[0]}::double + lg * {m[1]}::double + lb * {m[2]}::double) / {colour.WHITE[row]}::double)"
+    return f"case when {t} > power(6.0::double / 29, 3) then power({t}, 1.0::double / 3) else {t} / (3 * power(6.0::double / 29, 2)) + 4.0::double / 29 end"
+
+
+_LAB = v.V_PIXELS + f""", lin as (select slide, tile_x, tile_y, r, g, b, {_lin('r')} as lr, {_lin('g')} as lg, {_lin('b')} as lb from v_pixels),
+fxyz as (select *, {_f(0)} as fx, {_f(1)} as fy, {_f(2)} as fz from lin),
+lab as (select slide, tile_x, tile_y, r, g, b, 116 * fy - 16 as l, 500 * (fx - fy) as a, 200 * (fy - fz) as bb from fxyz)"""
+
+
+@query(f"with {_LAB} select distinct r, g, b, round(l, 6) + 0.0 as lab_l, round(a, 6) + 0.0 as lab_a, round(bb, 6) + 0.0 as lab_b from lab")
+def rgb_to_lab(spark, sf_dir):
+    x = v.pixels(spark, sf_dir).select("r", "g", "b").distinct()
+    return x.select("r", "g", "b", *[(F.round(c, 6) + 0.0).alias(n) for c, n in zip(colour.lab("r", "g", "b"), ("lab_l", "lab_a", "lab_b"), strict=True)])
+
+
+_STATS = ", ".join(f"round(avg({c}), 6) + 0.0 as mean_{n}, round(stddev_pop({c}), 6) + 0.0 as std_{n}" for c, n in (("l", "l"), ("a", "a"), ("bb", "b")))
+
+
+def _lab(spark, sf_dir):
+    l, a, b = colour.lab("r", "g", "b")  # noqa: E741
+    return v.pixels(spark, sf_dir).select("slide", "tile_x", "tile_y", "r", "g", "b", l.alias("l"), a.alias("a"), b.alias("bb"))
+
+
+@query(f"with {_LAB} select slide, tile_x, tile_y, {_STATS} from lab group by slide, tile_x, tile_y")
+def lab_mean_std(spark, sf_dir):
+    stats = [s for c, n in (("l", "l"), ("a", "a"), ("bb", "b")) for s in ((F.round(F.avg(c), 6) + 0.0).alias(f"mean_{n}"), (F.round(F.stddev_pop(c), 6) + 0.0).alias(f"std_{n}"))]
+    return _lab(spark, sf_dir).groupBy("slide", "tile_x", "tile_y").agg(*stats)
+
+
+def _norm_sql() -> str:
+    parts = [f"({c} - avg({c}) over t) * case when stddev_pop({c}) over t <= 1e-6 then 1 else {TARGET[i + 3]}::double / stddev_pop({c}) over t end + {TARGET[i]}::double as n{c}" for i, c in enumerate(("l", "a", "bb"))]
+    d = "(6.0::double / 29)"
+    inv = lambda f, w: f"(case when {f} > {d} then {f} * {f} * {f} else ({f} - 4.0::double / 29) * (3 * {d} * {d}) end * {w}::double)"
+    fy = "((nl + 16) / 116)"
+    xyz = [inv(f, w) for f, w in zip((f"({fy} + na / 500)", fy, f"({fy} - nbb / 200)"), colour.WHITE, strict=True)]
+    out = []
+    for row, name in zip(colour.FROM_XYZ, "rgb", strict=True):
+        c = f"least(greatest(({row[0]}::double * x + {row[1]}::double * y + {row[2]}::double * z), 0), 1)"
+        out.append(f"floor(least(greatest(case when {c} <= 0.0031308 then {c} * 12.92 else power({c}, 1.0::double / 2.4) * 1.055 - 0.055 end, 0), 1) * 255 + 0.5)::int as n{name}")
+    return f"{_LAB}, norm as (select *, {', '.join(parts)} from lab window t as (partition by slide, tile_x, tile_y)), xyz as (select *, {xyz[0]} as x, {xyz[1]} as y, {xyz[2]} as z from norm) select slide, tile_x, tile_y, r, g, b, {', '.join(out)}, count(*)::bigint as n from xyz group by all"
+
+
+@query(f"with {_norm_sql()}")
+def reinhard_normalize(spark, sf_dir):
+    t = Window.partitionBy("slide", "tile_x", "tile_y")
+    x = _lab(spark, sf_dir)
+    x = x.select("slide", "tile_x", "tile_y", "r", "g", "b", *[((F.col(c) - F.avg(c).over(t)) * F.when(F.stddev_pop(c).over(t) <= 1e-6, 1.0).otherwise(F.lit(TARGET[i + 3]) / F.stddev_pop(c).over(t)) + TARGET[i]).alias(f"n{c}") for i, c in enumerate(("l", "a", "bb"))])
+    r, g, b = colour.rgb(F.col("nl"), F.col("na"), F.col("nbb"))
+    x = x.select("slide", "tile_x", "tile_y", "r", "g", "b", r.alias("nr"), g.alias("ng"), b.alias("nb"))
+    return x.groupBy(*x.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {v.V_SLIDES}, r as (select slide, w % 300 as cx, h % 300 as cy, slide % 350 as tx, slide % 275 as ty from v_slides),
+o as (select *, greatest(cx, tx) as x0, greatest(cy, ty) as y0, least(cx + 200, tx + 120) as x1, least(cy + 150, ty + 90) as y1 from r)
+select slide, x0 - cx as dst_x, y0 - cy as dst_y, x0 - tx as src_x, y0 - ty as src_y, x1 - x0 as w, y1 - y0 as h from o where x1 > x0 and y1 > y0""")
+def blit_overlap(spark, sf_dir):
+    s = v.slides(spark, sf_dir).select("slide", (F.col("w") % 300).alias("cx"), (F.col("h") % 300).alias("cy"), (F.col("slide") % 350).alias("tx"), (F.col("slide") % 275).alias("ty"))
+    o = s.withColumns({"x0": F.greatest("cx", "tx"), "y0": F.greatest("cy", "ty"), "x1": F.least(F.col("cx") + 200, F.col("tx") + 120), "y1": F.least(F.col("cy") + 150, F.col("ty") + 90)}).where("x1 > x0 and y1 > y0")
+    return o.select("slide", *[(F.col(a) - F.col(b)).alias(n) for a, b, n in (("x0", "cx", "dst_x"), ("y0", "cy", "dst_y"), ("x0", "tx", "src_x"), ("y0", "ty", "src_y"), ("x1", "x0", "w"), ("y1", "y0", "h"))])
+
+
+@query(f"with {v.V_GRAY} select slide, tile_x * 8 + px as x, tile_y * 8 + py as y, max(intensity)::int as intensity from v_gray group by all")
+def stitch_overview(spark, sf_dir):
+    return v.gray(spark, sf_dir).groupBy("slide", (F.col("tile_x") * 8 + F.col("px")).alias("x"), (F.col("tile_y") * 8 + F.col("py")).alias("y")).agg(F.max("intensity").alias("intensity"))
+
+
+_BIN = "least(floor((least(greatest({0}, 0::float), 1::float)::double * 10)::float), 9)::int"
+
+
+@query(f"with {v.V_EVENTS}, b as (select slide, {_BIN.format('fraction')} as bin, count(*)::bigint as n from v_events where not kept group by all) select slide, bin, n, greatest(max(n) over (partition by slide), 1)::bigint as largest from b")
+def dropped_histogram(spark, sf_dir):
+    b = v.tile_events(spark, sf_dir).where("not kept").groupBy("slide", reports.unit_bin(F.col("fraction")).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return b.withColumn("largest", F.greatest(F.max("n").over(Window.partitionBy("slide")), F.lit(1).cast(BIG)))
+
+
+@query(f"""with {v.V_EVENTS}, k as (select slide, (count(*) filter (kept))::float as kept from v_events group by slide), e as (select min(kept) as lo, max(kept) as hi from k)
+select case when hi = lo then 0 else {_BIN.format('((kept - lo) / (hi - lo))::float')} end::int as bin, count(*)::bigint as n from k, e group by all""")
+def kept_histogram(spark, sf_dir):
+    kept = tissue.counts(v.tile_events(spark, sf_dir), ["slide"]).select("slide", F.col("kept").cast("float").alias("kept"))
+    return reports.range_bins(kept, "kept")
+
+
+@query(f"""with {_FRACTION}, k as (select slide, tile_x, tile_y, row_number() over (partition by slide order by tile_y, tile_x) - 1 as i, count(*) over (partition by slide) as m from tile where tissue_fraction >= {LEAST}::float)
+select slide, tile_x, tile_y, (i // ceil(m / 8.0)::bigint)::int as sample from k where i % ceil(m / 8.0)::bigint = 0""")
+def sample_tiles(spark, sf_dir):
+    kept = _fractions(spark, sf_dir).where(tissue.keep("tissue_fraction", LEAST)).select("slide", "tile_x", "tile_y")
+    return reports.systematic_sample(kept, ["slide"], ["tile_y", "tile_x"])
+
+
+@query("with r as (select s_suppkey as slide, row_number() over (order by s_suppkey) - 1 as i from supplier) select slide, (i // 4)::bigint as page, (i % 4)::bigint as place from r")
+def page_chunks(spark, sf_dir):
+    return reports.pages(v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("slide")), "slide")
+
+
+@query(f"""with {_FRACTION} select slide, count(*)::bigint as total, (count(*) filter (tissue_fraction >= {LEAST}::float))::bigint as kept, (count(*) filter (tissue_fraction < {LEAST}::float))::bigint as dropped from tile group by rollup (slide)""")
+def dataset_rollup(spark, sf_dir):
+    return reports.rollup(_fractions(spark, sf_dir).withColumn("kept", tissue.keep("tissue_fraction", LEAST)), "slide")
+
+
+@query(r"""with p as (select page_id, split_part(split_part(url, '?', 1), '#', 1) as path from pages), n as (select page_id, path, string_split(path, '/')[-1] as name from p)
+select page_id, case when (case when regexp_matches(name, '^\.[^.]*$') then name else regexp_replace(name, '\.[^.]*$', '') end) in ('', '.', '..') then 'slide'
+  else (case when regexp_matches(name, '^\.[^.]*$') then name else regexp_replace(name, '\.[^.]*$', '') end) end as stem, ends_with(lower(name), '.html') as matches from n""")
+def slide_stem(spark, sf_dir):
+    p = v.table(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)).alias("path"))
+    return p.select("page_id", tags.stem("path").alias("stem"), F.lower("path").endswith(".html").alias("matches"))
+
+
+@query(f"""with {_TILES}, o as (select slide, level, tile_x, tile_y, w, h, floor(tile_x * t * ds + 0.5)::bigint as ox, floor(tile_y * t * ds + 0.5)::bigint as oy, floor(t * ds + 0.5)::bigint as f from tiles)
+select slide, level, tile_x, tile_y, round((ox::float / w::float)::double, 6) as x0, round((least(ox + f, w)::float / w::float)::double, 6) as x1, round((oy::float / h::float)::double, 6) as y0, round((least(oy + f, h)::float / h::float)::double, 6) as y1 from o""")
+def tile_bounds_frac(spark, sf_dir):
+    tiles = _tiles(spark, sf_dir)
+    (x0, x1), (y0, y1) = (geometry.fractional(base_pixels(F.col(f"tile_{a}") * F.col("t"), "ds"), base_pixels("t", "ds"), side) for a, side in (("x", "w"), ("y", "h")))
+    return tiles.select("slide", "level", "tile_x", "tile_y", *[F.round(c.cast("double"), 6).alias(n) for c, n in ((x0, "x0"), (x1, "x1"), (y0, "y0"), (y1, "y1"))])
+
+
+@query(f"with {v.V_SLIDES}, a as (select slide, (w::double / h::double)::float as aspect from v_slides) select slide, round((case when aspect::double > 100.0 / 40 then 100.0::double else 40.0::double * aspect end)::double, 4) as w, round((case when aspect::double > 100.0 / 40 then 100.0::double / aspect else 40.0::double end)::double, 4) as h from a")
+def fit_within(spark, sf_dir):
+    w, h = geometry.fit_within((F.col("w").cast("double") / F.col("h").cast("double")).cast("float").cast("double"), 100.0, 40.0)
+    return v.slides(spark, sf_dir).select("slide", F.round(w, 4).alias("w"), F.round(h, 4).alias("h"))
+
+
+@query("with c as (select p_partkey as slide, (p_partkey % 10)::int as code from part) select slide, code, case code " + " ".join(f"when {k} then '{x}'" for k, x in tags.PHOTOMETRIC.items()) + " end as photometric from c")
+def photometric(spark, sf_dir):
+    c = v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slide"), (F.col("p_partkey") % 10).cast("int").alias("code"))
+    return c.withColumn("photometric", tags.photometric("code"))
+
+
+_CHROMA = ["4:4:4", " 422 ", "420", "4:2:0", "4:1:1", "444", ""]
+
+
+@query("with c as (select p_partkey as slide, ['" + "','".join(_CHROMA) + "'][(p_partkey % 7)::int + 1] as text from part) select slide, " + ", ".join(f"case trim(text) {' '.join(f"when '{k}' then {x[i]}" for k, x in tags.CHROMA.items())} end::int as {n}" for i, n in enumerate(("horizontal", "vertical"))) + " from c")
+def chroma_parse(spark, sf_dir):
+    text = F.element_at(F.array(*[F.lit(x) for x in _CHROMA]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    c = v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slide"), tags.chroma_factors(text).alias("f"))
+    return c.select("slide", "f.horizontal", "f.vertical")
+
+
+@query(f"with {_FRACTION} select slide, tile_x, tile_y from tile where tissue_fraction >= {LEAST}::float")
+def manifest(spark, sf_dir):
+    return _fractions(spark, sf_dir).where(tissue.keep("tissue_fraction", LEAST)).select("slide", "tile_x", "tile_y")
