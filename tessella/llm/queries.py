@@ -113,13 +113,14 @@ def repetition_sql(docs: str) -> str:
     sums = ", ".join(f"sum(chars) filter (s_{n}) as chars_in_{n}" for n in sizes)
     flags = ", ".join(f"bool_or(hit_{n}) over (partition by doc_id order by i rows between {n - 1} preceding and current row) as s_{n}" for n in sizes)
     hits = ", ".join(f"coalesce(i + {n} <= n_words + 1 and count(*) over (partition by doc_id, gram_{n}) > 1, false) as hit_{n}" for n in sizes)
-    grams = ", ".join(f"case when i + {n} <= n_words + 1 then hash(ws[i : i + {n - 1}]) else i end as gram_{n}" for n in sizes)
+    window = lambda n: "hash(concat_ws(' ', w, " + ", ".join(f"lead(w, {j}) over o" for j in range(1, n)) + "))"
+    grams = ", ".join(f"case when i + {n} <= n_words + 1 then {window(n)} else i end as gram_{n}" for n in sizes)
     limits = " and ".join([f"chars_in_{n} <= {most} * word_chars" for n, most in sorted(quality_rules.COVERAGE.items())] + [f"chars_in_lines <= {quality_rules.LINE_COVERAGE} * word_chars"])
     return f"""
 base as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {_W}) as ws from {docs}),
 sized as (select *, len(ws) as n_words from base),
-words as (select doc_id, ws, n_words, unnest(range(1, n_words + 1)) as i from sized),
-gramed as (select doc_id, n_words, i, length(ws[i]) as chars, {grams} from words),
+words as (select doc_id, n_words, unnest(ws) as w, generate_subscripts(ws, 1) as i from sized),
+gramed as (select doc_id, n_words, i, length(w) as chars, {grams} from words window o as (partition by doc_id order by i)),
 hit as (select doc_id, i, chars, {hits} from gramed),
 covered as (select doc_id, i, chars, {flags} from hit),
 c as (select doc_id, sum(chars) as word_chars, count(*) filter (s_5) as n_repeat_words, {sums} from covered group by doc_id),
