@@ -6,8 +6,8 @@ share prefix tokens under each of the other orders before its overlap is counted
 
 Documents with equal sets are one node. A token that few nodes have in their prefix pairs them all; of a token of many,
 every node is paired with the token's smallest node only, which suffices where all end up in one component. The tokens
-for which it doesn't are found afterwards, and their nodes compared across components in blocks, behind filters of
-lengths and bitmaps that never lose a link.
+for which it doesn't are found afterwards, those with the same smallest node are united, and their nodes compared across
+components in blocks, behind filters of lengths and bitmaps that never lose a link.
 """
 
 from __future__ import annotations
@@ -269,7 +269,7 @@ class Joiner:
         return out
 
     def across(self, frame):
-        """Pairs of a block pair in different components that pass the filters of sizes and bitmaps."""
+        """Pairs of a block pair in different components that pass the filters of sizes and bitmaps, each in the first group that both are in."""
         import pandas as pd
 
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
@@ -280,6 +280,10 @@ class Joiner:
         x, y = np.nonzero(passed)
         good = self.may_link(na[x], nb[y], *a.only(b, x, y))
         x, y = x[good], y[good]
+        pivot = frame["pivot"].iloc[0]
+        of_x, of_y = ({r: frozenset(side["pivots"].iloc[r].tolist()) for r in set(rows.tolist())} for side, rows in ((left, x), (right, y)))
+        first = np.array([min(of_x[r] & of_y[q]) == pivot for r, q in zip(x.tolist(), y.tolist(), strict=True)], bool)
+        x, y = x[first], y[first]
         u, v = left["node"].to_numpy()[x], right["node"].to_numpy()[y]
         return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
 
@@ -334,14 +338,20 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     roots = components(links)
 
     labelled = members.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    groups = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("sum")).where("lo < hi")
-    groups = written(groups.groupBy("size", "sum").agg(F.min("token").alias("token")), "open")  # tokens of the same nodes count once
+    tokens = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("pivot")).where("lo < hi")
+    # Tokens of one smallest node make one group: drifting copies share hundreds of them, and each pair would meet at every one.
+    open_nodes = written(labelled.join(tokens, "token").select("pivot", "node", "root").distinct(), "open")
+    groups = open_nodes.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("sum"))
+    groups = written(groups.groupBy("size", "sum").agg(F.min("pivot").alias("pivot")), "groups")  # groups of the same nodes count once
     if not groups.isEmpty():
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = labelled.join(groups, "token").join(reps.select("node", "n", "bits"), "node").select("token", "node", "root", "n", "bits", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+        meets = F.collect_list(F.struct("pivot", blocks.alias("blocks"))).alias("meets")  # no more than the prefix has tokens
+        own = open_nodes.join(groups, "pivot").groupBy("node").agg(F.first("root").alias("root"), meets).join(reps.select("node", "n", "bits"), "node")
+        own = own.select("node", "root", "n", "bits", F.col("meets.pivot").alias("pivots"), F.explode("meets").alias("meet"))
+        own = own.select("meet.*", *own.columns[:5], F.pmod(F.xxhash64("node", F.lit(1)), "meet.blocks").cast("int").alias("block"))
         spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        more = spread.groupBy("token", "i", "j").applyInPandas(lambda frame: join.across(frame), "a bigint, b bigint").where("a != b").distinct()
+        more = spread.groupBy("pivot", "i", "j").applyInPandas(lambda frame: join.across(frame), "a bigint, b bigint").where("a != b").distinct()
         links = links.unionByName(verified(more))
         roots = components(links)
     named = reps.select("node", "_rep").join(roots, "node", "left").select("node", "_rep", F.coalesce("root", "node").alias("root"))
