@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -49,3 +52,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def lean(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """each, a function of a task's batches, made to hand its memory back to the system at the end of the task.
+
+    Workers are used again and wait beside each other between tasks; the allocators of C and Arrow would keep what they
+    once held (about 200 MB a worker after shingles of 16 MB of texts) as long as the worker lives.
+    """
+
+    def run(parts: Iterator) -> Iterator:
+        try:
+            yield from each(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim:
+                trim(0)
+
+    return run

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textnum
-from tessella.llm.cluster import partitions, ship, written
+from tessella.llm.cluster import lean, partitions, ship, written
 from tessella.llm.components import components
 from tessella.llm.textnum import U
 
@@ -305,15 +305,15 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     join = Joiner(k, percent, frequent)
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(key, text)
-    table = written(docs.mapInArrow(lambda parts: join.profile(parts, key, text), f"`{key}` {kind}, n int, node bigint, bits binary, token bigint, count bigint"), "profile")
+    table = written(docs.mapInArrow(lean(lambda parts: join.profile(parts, key, text)), f"`{key}` {kind}, n int, node bigint, bits binary, token bigint, count bigint"), "profile")
     rows = table.where("token is null").select(key, "n", "node", "bits")
     totals = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("n") > 0, (F.col("n") * (100 - percent)) / 100 + 1)).alias("tokens")).first()
     often = table.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= max(8.0, totals["docs"] * frequent))
     frequent_tokens = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in often.select("token").toLocalIterator()], np.int64).view(U)))
     buckets = max(partitions(spark), int((totals["tokens"] or 0) // 1_000_000) + 1)
-    packed = docs.mapInArrow(lambda parts: join.prefixes(parts, text, frequent_tokens.value, buckets), "bucket int, data binary")
+    packed = docs.mapInArrow(lean(lambda parts: join.prefixes(parts, text, frequent_tokens.value, buckets)), "bucket int, data binary")
     gathered = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = written(gathered.mapInArrow(join.groups, "a bigint, b bigint, token bigint, n int"), "candidates")
+    found = written(gathered.mapInArrow(lean(join.groups), "a bigint, b bigint, token bigint, n int"), "candidates")
     hot = found.where("n is not null").select("token", F.col("a").alias("node"), "n").distinct()
     pivots = hot.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"))
     pivots = F.broadcast(pivots.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")))  # no more than the frequent tokens
@@ -326,13 +326,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(join.sift, "a bigint, b bigint"), "pairs")
+        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(lean(join.sift), "a bigint, b bigint"), "pairs")
         wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "_rep"), "node"), "wanted")
         small = wanted.count() <= BROADCAST_ROWS  # else the documents are shuffled
         texts = docs.withColumnRenamed(key, "_rep").join(F.broadcast(wanted) if small else wanted, "_rep")
         texts = written(texts.groupBy("node").agg(F.min(text).alias("text")), "texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return written(both.mapInArrow(join.verify, "a bigint, b bigint"), "verified")
+        return written(both.mapInArrow(lean(join.verify), "a bigint, b bigint"), "verified")
 
     links = verified(candidates)
     roots = components(links)
