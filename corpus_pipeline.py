@@ -42,7 +42,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("best-fit packing", sequences)]
 
-#: SQL can express neither the language models nor the packing. tests/llm holds the operators against brute force, not yet the stages together.
+#: SQL can express neither the language models nor the packing; tests/llm/test_pipeline.py holds run() against a plain version of all stages.
 ORACLE_SQL = None
 
 
