@@ -14,16 +14,12 @@ from pyspark.sql import functions as F
 from tessella.functions import geometry, tags
 from tessella.operators import grid, jpeg, raster
 from tessella.options import Options
+from tessella.plans.regions import Stitcher, decoded, with_parts
 from tessella.sources import wsi
 
 _LEVEL = "path string, slide string, level int, width int, height int, tile_w int, tile_h int, downsample double, photometric int, tables binary, ifd int"
 
 
-def _decode(data: bytes, tables: bytes, photometric: int) -> np.ndarray:
-    """A tile as stored: YCbCr and RGB components untouched, others as RGB."""
-    return jpeg.decode(jpeg.join_tables(tables, data), colour=photometric not in (2, 6))
-
-
 def _tiles_of(level: DataFrame, directory: DataFrame) -> DataFrame:
     cells = grid.cells(level, geometry.tiles_across("width", "tile_w"), geometry.tiles_across("height", "tile_h"))
     cells = cells.withColumn("tile_index", F.col("tile_y") * geometry.tiles_across("width", "tile_w") + F.col("tile_x"))
@@ -46,7 +42,7 @@ def overviews(slides: DataFrame, directory: DataFrame) -> DataFrame:
         with wsi.open_file(r.path) as f:
             for t in frame.sort_values("offset").itertuples(index=False):
                 f.seek(t.offset)
-                part = raster.gray(_decode(f.read(t.byte_count), t.tables, t.photometric))
+                part = raster.gray(decoded(f.read(t.byte_count), t.tables, t.photometric))
                 y, x = t.tile_y * t.tile_h, t.tile_x * t.tile_w
                 room = canvas[y : y + t.tile_h, x : x + t.tile_w]
                 room[:] = part[: room.shape[0], : room.shape[1]]
@@ -58,10 +54,11 @@ def overviews(slides: DataFrame, directory: DataFrame) -> DataFrame:
 def extract(paths: DataFrame, options: Options) -> DataFrame:
     """A row for each tile of the chosen level: slide, level, tile_x, tile_y, origin_x, origin_y, loc_x, loc_y, stage, kept, tissue_fraction, and width, height, jpeg of kept ones.
 
-    stage: 1 where the overview dropped a tile, 2 where its pixels did, null where it was kept.
+    stage: 1 where the overview dropped a tile, 2 where its pixels did, null where it was kept. With tile_px the tiles are
+    windows of tile_um microns, stride_um apart, cut across native tiles and resampled to tile_px; tile_x and tile_y are
+    their column and row, and windows that would leave the level, or that have no microns per pixel, are none.
     """
-    if options.tile_px is not None:
-        raise NotImplementedError("grid windows have their relational part in operators.grid; their pixels are not stitched yet")
+    windowed = options.tile_px is not None
     images = wsi.ifds(paths)
     slides, directory = wsi.slides(images), wsi.tile_directory(images)
     lv = levels(slides).withColumn("level_mpp", F.col("microns_per_pixel") * F.col("downsample"))
@@ -71,12 +68,13 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
         best = grid.best_level(lv.select("path", "level", F.col("level_mpp").alias("mpp")), "path", F.lit(float(options.target_mpp)))
         lv = lv.join(best, "path").where("level = best_level")
     factor = F.lit(None).cast("double") if options.target_mpp is None else F.col("level_mpp") / float(options.target_mpp)
-    tiles = _tiles_of(lv, directory).withColumns({
-        "origin_x": geometry.base_pixels(F.col("tile_x") * F.col("tile_w"), "downsample"), "origin_y": geometry.base_pixels(F.col("tile_y") * F.col("tile_h"), "downsample"),
+    tiles = _windows_of(lv, options) if windowed else _tiles_of(lv, directory).withColumns({
+        "x": F.col("tile_x") * F.col("tile_w"), "y": F.col("tile_y") * F.col("tile_h"), "w": F.col("tile_w").cast("bigint"), "h": F.col("tile_h").cast("bigint"),
         "valid_w": geometry.valid_side("width", "tile_x", "tile_w"), "valid_h": geometry.valid_side("height", "tile_y", "tile_h"),
         "out_w": geometry.resized_side("tile_w", factor), "out_h": geometry.resized_side("tile_h", factor),
     })
-    for a, side in (("x", "tile_w"), ("y", "tile_h")):
+    for a, side in (("x", "w"), ("y", "h")):
+        tiles = tiles.withColumn(f"origin_{a}", geometry.base_pixels(a, "downsample"))
         tiles = tiles.withColumn(f"loc_{a}", F.col(f"origin_{a}") + geometry.int_div(geometry.base_pixels(side, "downsample"), 2))
     least = options.min_tissue_fraction
     if least is not None:
@@ -91,19 +89,11 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in out.split(", ")])
 
     def process(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[str, object] = {}
-        for part in parts:
+        stitch = Stitcher()
+        for part in (p.slice(i, 64) for p in parts for i in range(0, p.num_rows, 64)):  # few tiles at once
             rows = []
             for t in (SimpleNamespace(**r) for r in part.to_pylist()):
-                if t.path not in files:
-                    for f in files.values():
-                        f.close()
-                    files = {t.path: wsi.open_file(t.path)}
-                files[t.path].seek(t.offset)
-                data = files[t.path].read(t.byte_count)
-                if len(data) < t.byte_count:
-                    raise OSError(f"{t.path}: tile {t.tile_x}, {t.tile_y} ends too early")
-                pixels = _decode(data, t.tables, t.photometric)
+                pixels = stitch(t) if windowed else stitch.stored(t)
                 fraction = raster.tissue(pixels[: t.valid_h, : t.valid_w], t.threshold) if least is not None else None
                 common = (t.slide, t.level, t.tile_x, t.tile_y, t.origin_x, t.origin_y, t.loc_x, t.loc_y)
                 if least is not None and not fraction >= np.float32(least):
@@ -111,24 +101,38 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
                     continue
                 if target is not None:
                     pixels = raster.normalize(pixels, target)
-                if (t.out_w, t.out_h) != (t.tile_w, t.tile_h):
+                if (t.out_w, t.out_h) != (t.w, t.h):
                     pixels = raster.resize(pixels, t.out_w, t.out_h)
                 rows.append((*common, None, True, fraction, pixels.shape[1], pixels.shape[0], jpeg.encode(pixels, quality, factors)))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+        stitch.close()
 
-    read = tiles.where("first").repartition("path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
+    if windowed:
+        wanted = with_parts(tiles.where("first"), directory, ["path", "tile_x", "tile_y"])
+        read = wanted.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "y", "x")
+    else:
+        read = tiles.where("first").repartition("path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
     kept = read.mapInArrow(process, out)
     none = {"stage": F.lit(1), "kept": F.lit(False), "tissue_fraction": F.col("overview_fraction"), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "jpeg": F.lit(None).cast("binary")}
     dropped = tiles.where("not first").drop("width", "height").withColumns(none).select(*kept.columns)
     return kept.unionByName(dropped)
 
 
+def _windows_of(level: DataFrame, options: Options) -> DataFrame:
+    """Whole windows of each level; chunk numbers squares of 16 of them, whose native tiles one task decodes once."""
+    px = lambda um: geometry.whole_pixels(F.lit(float(um)) / F.col("level_mpp"))
+    sized = level.where("level_mpp is not null").withColumns({"w": px(options.tile_um), "stride": px(options.tile_um if options.stride_um is None else options.stride_um)})
+    sized = sized.withColumns({"h": F.col("w"), "valid_w": F.col("w"), "valid_h": F.col("w"), "out_w": F.lit(options.tile_px), "out_h": F.lit(options.tile_px)})
+    cells = grid.cells(sized, geometry.window_count("width", "w", "stride"), geometry.window_count("height", "w", "stride"))
+    chunk = geometry.int_div("tile_y", 16) * (1 << 31) + geometry.int_div("tile_x", 16)
+    return cells.withColumns({"x": F.col("tile_x") * F.col("stride"), "y": F.col("tile_y") * F.col("stride"), "chunk": chunk})
+
+
 def _first_stage(tiles: DataFrame, shown: DataFrame, least: float) -> DataFrame:
     """first: whether the overview shows enough tissue in the tile's valid part. One overview a group, whatever its number of tiles."""
     spans = {}
     for a, side, own, over in (("x", "valid_w", "width", "ow"), ("y", "valid_h", "height", "oh")):
-        size = F.col("tile_w" if a == "x" else "tile_h")
-        spans[f"lo_{a}"], spans[f"hi_{a}"] = geometry.span(F.col(f"tile_{a}") * size, side, F.col(over).cast("double") / F.col(own).cast("double"), over)
+        spans[f"lo_{a}"], spans[f"hi_{a}"] = geometry.span(a, side, F.col(over).cast("double") / F.col(own).cast("double"), over)
     sized = tiles.join(shown.select("path", "ow", "oh"), "path").withColumns(spans)
     asked = sized.select("path", "tile_x", "tile_y", *spans)
 

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tessella.functions import geometry, tags
 from tessella.operators import grid, jpeg, raster, reports, tissue
 from tessella.options import Options
-from tessella.plans import catalog, extraction
+from tessella.plans import catalog, extraction, regions
 from tessella.sinks import files, tfrecord
 from tessella.sources import tiff, wsi
 
@@ -166,6 +166,41 @@ def test_extraction(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out/a").iterdir()) == ["0_0.jpg", "0_1.jpg", "a.tfrecord"]
 
 
+def test_regions_and_windows(spark, tmp_path):
+    slide(tmp_path / "a.svs")
+    (tmp_path / "corrupt.svs").write_bytes(b"not a real tiff")
+    paths = wsi.from_dir(spark, str(tmp_path))
+    a, gone = (next(p for (p,) in paths.collect() if p.endswith(x)) for x in ("a.svs", "corrupt.svs"))
+    rects = [(0, 0, 0, 80, 50), (0, 20, 5, 30, 40), (0, 70, 40, 20, 20), (0, 500, 500, 4, 3), (1, 0, 0, 20, 12), (0, 3, 3, 0, 5), (0, 20, 5, 30, 40), (7, 0, 0, 4, 4)]
+    asked = spark.createDataFrame([(a, *r) for r in rects] + [(gone, 0, 0, 0, 4, 4), (a, 0, None, 0, 4, 4)], "path string, level int, x int, y int, w int, h int")
+    got = {(r["level"], r["x"], r["y"], r["w"], r["h"]): r["pixels"] for r in regions.read_regions(paths, asked).collect()}
+    assert set(got) == set(rects[:6]) and len(got) == 6
+    for (level, x, y, w, h), data in got.items():
+        px = np.frombuffer(data, np.uint8).reshape(h, w, 3)
+        size, d = ((80, 50), 1) if level == 0 else ((20, 12), 4)
+        at = np.arange(x, x + w)
+        inside = (at < size[0])[None, :] & (np.arange(y, y + h) < size[1])[:, None]
+        want = np.where(inside, np.where(at * d < 32, 40, 230)[None, :], 0)[..., None]
+        assert not w or np.abs(px.astype(int) - want).max() < 8
+
+    def windows(**more):
+        return {(r["tile_x"], r["tile_y"]): r for r in extraction.extract(paths, Options(level=0, jpeg_quality=95, **more)).collect()}
+
+    same = windows(tile_px=32, tile_um=16.0)
+    assert set(same) == {(0, 0), (1, 0)}  # whole windows only
+    every = extraction.extract(paths, Options(level=0, jpeg_quality=95)).collect()
+    for r in every:
+        if (r["tile_x"], r["tile_y"]) in same:
+            assert {k: r[k] for k in r.asDict()} == same[r["tile_x"], r["tile_y"]].asDict()
+    some = windows(tile_px=10, tile_um=10.0, stride_um=5.0)
+    assert set(some) == {(x, y) for x in range(7) for y in range(4)} and some[3, 1]["origin_x"] == 30 and some[3, 1]["loc_y"] == 20
+    assert all(r["width"] == r["height"] == 10 for r in some.values())
+    assert np.abs(jpeg.decode(bytes(some[1, 1]["jpeg"]), True).astype(int) - 40).max() < 10
+    tissue_only = windows(tile_px=10, tile_um=10.0, stride_um=5.0, min_tissue_fraction=0.5)
+    assert {k for k, r in tissue_only.items() if r["kept"]} == {(x, y) for x in (0, 1, 2) for y in range(4)} and len(tissue_only) == 28
+    assert windows(tile_px=10, tile_um=100.0) == {}
+
+
 @pytest.mark.parametrize("name", ["description", "tables", "counts"])
 def test_bad_slides_are_rows(spark, tmp_path, name):
     image = {"width": 32, "height": 32, "description": "x", "tile": (32, 32), "tiles": [b"abcd"], "tables": b"\xff\xd8\xff\xd9"}
