@@ -1,9 +1,11 @@
 """Best-fit packing: which pieces share a sequence follows from the histogram of their lengths alone.
 
 The configuration linear program (how often to use each multiset of lengths that fits a sequence, so that all lengths
-are covered by as few sequences as possible) is solved by multiplicative weights: a length's price is its share of a
+are covered by as few sequences as possible) is first dealt by multiplicative weights: a length's price is its share of a
 sequence times a weight that falls as it is covered; a knapsack dynamic program finds the configuration of the highest
-price, which is taken in whole steps. What rounding leaves goes best fit, longest first, over the histogram.
+price, which is taken in whole steps while it fills a sequence. Where that ends more than a gap above the total length,
+the program itself is solved: the knapsack gives any configurations worth more than a sequence at the current prices,
+full or not, until prices prove the gap. The solution is rounded; what that leaves goes best fit, longest first.
 """
 
 from __future__ import annotations
@@ -35,9 +37,122 @@ def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np
     return best, took
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 4, rate: float = 0.1, share: float = 0.2) -> list[tuple[int, list[int]]]:
+def traced(k: int, took: np.ndarray, size: np.ndarray, capacity: int) -> dict[int, int]:
+    """The most valuable configuration that holds length number k: numbers of lengths, and how often each."""
+    have, rooms = {k: 1}, capacity - int(size[k])
+    while rooms > 0:
+        if (t := int(took[rooms])) < 0:
+            rooms -= 1
+        else:
+            have[t] = have.get(t, 0) + 1
+            rooms -= int(size[t])
+    return have
+
+
+def configurations(histogram: dict[int, int], capacity: int, rounds: int = 4, rate: float = 0.1, share: float = 0.2, gap: float = 0.0025) -> list[tuple[int, list[int]]]:
     """(number of sequences, their lengths in order) that pack the histogram exactly.
 
+    Dealt by weights where that is within `gap` and a fiftieth of the number of lengths of the total length over the
+    capacity, else the best of that, best fit and the program's solution, rounded; before rounding that is within a fifth
+    of `gap` of the program's optimum. A solution has up to as many fractions as there are lengths, which rounding loses.
+    """
+    out = dealt(histogram, capacity, rounds, rate, share)
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    if sum(n for n, _ in out) <= least * (1 + gap) + len(histogram) / 50:
+        return out
+    return min([out, best_fit(histogram, capacity), *rounded(histogram, capacity, *program(histogram, capacity, gap / 5))], key=lambda x: sum(n for n, _ in x))
+
+
+def program(histogram: dict[int, int], capacity: int, gap: float) -> tuple[list[dict[int, int]], np.ndarray]:
+    """Configurations (length: how often) and how many of each, in fractions, that cover the histogram: the linear
+    program by revised simplex, columns by the knapsack, until the prices prove the gap."""
+    lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), np.int64)
+    counts = np.array([histogram[int(n)] for n in lengths], float)
+    wanted = counts * (1 + 1e-7 * np.random.default_rng(0).random(len(lengths)))  # no ties, so that no step is empty
+    columns: list[dict[int, int]] = [{i: capacity // int(n)} for i, n in enumerate(lengths)]
+    cost = np.ones(len(lengths))
+    inverse, steps = np.diag([1.0 / (capacity // int(n)) for n in lengths]), 0
+    centre, keep = lengths / capacity, 0.8  # the prices that prove most so far; the knapsack is asked between them and the current ones
+    least = float(centre @ counts)
+
+    def matrix() -> np.ndarray:
+        out = np.zeros((len(lengths), len(lengths)))
+        for j, column in enumerate(columns):
+            for i, c in column.items():
+                out[i, j] = c
+        return out
+
+    def enter(column: dict[int, int], price: float) -> bool:
+        nonlocal inverse, steps
+        at = np.fromiter(column, np.int64)
+        by = inverse[:, at] @ np.array([column[i] for i in at.tolist()], float)
+        x = inverse @ wanted
+        ratio = np.where(by > 1e-9, np.maximum(x, 0) / np.where(by > 1e-9, by, 1), np.inf)
+        j = int(ratio.argmin())
+        if not np.isfinite(ratio[j]):
+            return False
+        row = inverse[j] / by[j]
+        inverse -= np.outer(by, row)
+        inverse[j] = row
+        columns[j], cost[j], steps = column, price, steps + 1
+        if steps % 200 == 0:
+            inverse = np.linalg.inv(matrix())
+        return True
+
+    while len(lengths):
+        prices = cost @ inverse
+        entered = False
+        for i in np.flatnonzero(prices < -1e-9).tolist():  # more than is wanted of a length may be covered
+            if (cost @ inverse[:, i]) < -1e-9:
+                entered |= enter({i: -1}, 0.0)
+        if entered:
+            continue
+        prices = np.maximum(prices, 0)
+        asked = keep * centre + (1 - keep) * prices
+        best, took = knapsack(asked, lengths, capacity)
+        if asked @ counts > least * best[capacity]:  # asked / best: no configuration is worth more than a sequence
+            least, centre = float(asked @ counts / best[capacity]), asked / best[capacity]
+        if cost @ (inverse @ counts) <= least * (1 + gap):
+            break
+        value = asked + best[capacity - lengths]
+        for k in np.argsort(-value, kind="stable").tolist():
+            column = traced(k, took, lengths, capacity)
+            at = list(column)
+            if (cost @ inverse[:, at]) @ np.array([column[i] for i in at], float) > 1 + 1e-9:
+                entered |= enter(column, 1.0)
+        if not entered and not keep:
+            break
+        keep = 0.8 if entered else 0.0
+    x = np.linalg.solve(matrix(), counts) if len(lengths) else counts
+    real = [j for j, c in enumerate(cost) if c]
+    return [{int(lengths[i]): c for i, c in columns[j].items()} for j in real], np.maximum(x[real], 0)
+
+
+def rounded(histogram: dict[int, int], capacity: int, columns: list[dict[int, int]], x: np.ndarray) -> list[list[tuple[int, list[int]]]]:
+    """Two ways to round: whole parts and best fit for the rest; the same with one more of what still fits, largest fraction first."""
+    left, out = dict(histogram), []
+
+    def take(n: int, column: dict[int, int]) -> None:
+        while n > 0 and (column := {t: min(c, left[t]) for t, c in column.items() if left[t]}):
+            use = min(n, *(left[t] // c for t, c in column.items()))
+            for t, c in column.items():
+                left[t] -= use * c
+            out.append((use, [t for t in sorted(column, reverse=True) for _ in range(column[t])]))
+            n -= use
+
+    whole = np.floor(x + 1e-6).astype(np.int64)
+    for n, column in zip(whole.tolist(), columns, strict=True):
+        take(n, column)
+    plain = out + best_fit({t: n for t, n in left.items() if n}, capacity)
+    for j in np.argsort(whole - x, kind="stable").tolist():
+        if x[j] - whole[j] > 1e-6 and all(left[t] >= c for t, c in columns[j].items()):
+            take(1, columns[j])
+    return [plain, out + best_fit({t: n for t, n in left.items() if n}, capacity)]
+
+
+def dealt(histogram: dict[int, int], capacity: int, rounds: int, rate: float, share: float) -> list[tuple[int, list[int]]]:
+    """Configurations without slack in whole steps, then best fit.
+
     Each round prices the lengths, solves the knapsack once for all rooms, and takes for each length, longest first, the
     most valuable configuration that holds it, where its value is near the greatest; `share` of what is left of its
     scarcest length, in whole numbers. A length's weight is multiplied down as its demand is covered.
@@ -57,13 +172,7 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 4, ra
         value = prices + best[capacity - size]
         done = False
         for k in np.flatnonzero(value >= (1 - 0.02) * value.max())[::-1].tolist():
-            have, rooms = {k: 1}, capacity - int(size[k])
-            while rooms > 0:
-                if (t := int(took[rooms])) < 0:
-                    rooms -= 1
-                else:
-                    have[t] = have.get(t, 0) + 1
-                    rooms -= int(size[t])
+            have = traced(k, took, size, capacity)
             if capacity - sum(int(size[t]) * c for t, c in have.items()) > 0:
                 continue  # best fit does as well with what is left
             most = min(int(left[live[t]]) // c for t, c in have.items())

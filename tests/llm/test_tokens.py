@@ -113,3 +113,15 @@ def test_configurations_near_the_bound():
     histogram = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 1024, 20_000), return_counts=True), strict=True)}
     n = sum(k for k, _ in packing.configurations(histogram, 1024))
     assert n <= 1.005 * sum(k * v for k, v in histogram.items()) / 1024 + 1
+
+
+@pytest.mark.parametrize("m", [1, 1000])
+@pytest.mark.parametrize("histogram, optimum", [({522: 6, 276: 6, 266: 6, 230: 12}, 9), ({512: 2, 500: 2, 12: 2}, 2), ({400: 6, 350: 6, 270: 6}, 6), ({700: 4, 200: 4, 120: 4, 1024: 2}, 6), ({600: 3, 341: 9}, 5)])
+def test_sparse_histograms_reach_the_optimum(histogram, optimum, m):
+    histogram = {k: v * m for k, v in histogram.items()}
+    configs, used = packing.configurations(histogram, 1024), defaultdict(int)
+    for n, filled in configs:
+        assert n > 0 and sum(filled) <= 1024
+        for x in filled:
+            used[x] += n
+    assert dict(used) == histogram and sum(n for n, _ in configs) == optimum * m
