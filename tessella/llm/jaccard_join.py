@@ -341,8 +341,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     tokens = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("pivot")).where("lo < hi")
     # Tokens of one smallest node make one group: drifting copies share hundreds of them, and each pair would meet at every one.
     open_nodes = written(labelled.join(tokens, "token").select("pivot", "node", "root").distinct(), "open")
-    groups = open_nodes.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("sum"))
-    groups = written(groups.groupBy("size", "sum").agg(F.min("pivot").alias("pivot")), "groups")  # groups of the same nodes count once
+    groups = written(open_nodes.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "groups")  # no two have the same nodes
     if not groups.isEmpty():
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         meets = F.collect_list(F.struct("pivot", blocks.alias("blocks"))).alias("meets")  # no more than the prefix has tokens

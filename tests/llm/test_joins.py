@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 from tessella.llm import components, jaccard_join, nearest
 
@@ -68,6 +69,28 @@ def test_chains_within_large_groups(spark, frequent, monkeypatch):
     assert result(jaccard_join.similar(df, k=2, percent=85, frequent=frequent)) == expected
 
 
+def test_groups_of_equal_hashes_are_all_compared(spark, monkeypatch):
+    """Two chains whose groups have equal sizes; all node hashes collide."""
+
+    class Colliding:
+        def __getattr__(self, name):
+            return getattr(functions, name)
+
+        def xxhash64(self, *columns):
+            return functions.lit(1).cast("bigint")
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for chain in range(4):
+        words = [f"w{chain}_{i}" for i in range(60)]
+        for step in range(30):
+            rows.append((1000 * chain + step, " ".join(words)))
+            words[int(rng.integers(60))] = f"n{chain}_{step}"
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    monkeypatch.setattr(jaccard_join, "F", Colliding())
+    assert result(jaccard_join.similar(df, k=2, percent=85, frequent=0.2)) == brute(rows, 2, 85)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (None, 3), (205, 200), (205, 201)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
