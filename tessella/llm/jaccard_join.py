@@ -260,6 +260,15 @@ class Joiner:
                     linked[i] = 100 * both >= self.percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(linked)) for c in ("a", "b")], ["a", "b"])
 
+    def texts(self, parts, text: str):
+        """(node, text) of each set, once a task as far as it remembers."""
+        met: set = set()
+        for part in textnum.slices(parts, text):
+            values, offsets = shingles(part.column(text), self.k)
+            ids = set_ids(values, offsets)
+            new = self.first_met(ids, np.diff(offsets), met)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[new]), part.column(text).take(pa.array(new))], ["node", "text"])
+
     def heads(self, values: np.ndarray) -> list[np.ndarray]:
         size = int(self.prefix_sizes(np.array([len(values)]))[0])
         out = []
@@ -293,8 +302,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
 
     Texts are linked when 100 * intersection >= percent * union of their sets of distinct k-word shingles, A-Z
     lower-cased. With fewer words the whole sequence is the one shingle. Null texts, empty ones and those without words
-    have no shingle and link with nothing, not even each other. Repeated rows (equal keys) stay apart as rows. Other
-    columns of docs are left out. An empty table gives an empty result.
+    have no shingle and link with nothing, not even each other. Repeated rows (equal keys) stay apart as rows, whatever
+    their texts. Rows with a null key link like others; component_id is null only where no row of a component has a
+    key. Other columns of docs are left out. An empty table gives an empty result.
 
     frequent: tokens in so large a part of a task's nodes count as frequent; there are at most (mean set size) /
     (frequent * 3 / 4) of them whatever the table's size, so their list is broadcast. Sets are told apart by 64-bit
@@ -329,8 +339,14 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
         pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(lean(join.sift), "a bigint, b bigint"), "pairs")
         wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "_rep"), "node"), "wanted")
         small = wanted.count() <= BROADCAST_ROWS  # else the documents are shuffled
-        texts = docs.withColumnRenamed(key, "_rep").join(F.broadcast(wanted) if small else wanted, "_rep")
-        texts = written(texts.groupBy("node").agg(F.min(text).alias("text")), "texts")
+        keys, nodes = wanted.where("_rep is not null").select("_rep").distinct(), wanted.select("node")
+        near = docs.withColumnRenamed(key, "_rep").select("_rep", text)
+        some = near.join(F.broadcast(keys) if small else keys, "_rep", "left_semi")
+        if not wanted.where("_rep is null").isEmpty():  # sets found on rows without a key only
+            some = some.unionByName(near.where("_rep is null"))
+        # A key may stand on rows of different sets: each text goes by its own.
+        some = some.select(text).mapInArrow(lean(lambda parts: join.texts(parts, text)), "node bigint, text string")
+        texts = written(some.join(F.broadcast(nodes) if small else nodes, "node").groupBy("node").agg(F.min("text").alias("text")), "texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return written(both.mapInArrow(lean(join.verify), "a bigint, b bigint"), "verified")
 

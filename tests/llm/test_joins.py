@@ -91,6 +91,21 @@ def test_groups_of_equal_hashes_are_all_compared(spark, monkeypatch):
     assert result(jaccard_join.similar(df, k=2, percent=85, frequent=0.2)) == brute(rows, 2, 85)
 
 
+def test_repeated_and_null_keys(spark):
+    def drift(name, first=0):
+        return " ".join(f"{name}{i}x" if first <= i < first + 3 else f"{name}{i}" for i in range(60))
+
+    def plain(name):
+        return drift(name, 99)
+
+    rows = [(1, plain("a")), (1, plain("b")), (2, drift("a")), (3, drift("b"))]  # one key, two sets
+    rows += [(None, plain("c")), (5, drift("c")), (6, drift("c", 40))]  # a chain through a row without a key
+    rows += [(None, plain("d")), (None, drift("d"))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(df, k=2, percent=80).collect()), key=str)
+    assert got == sorted([(1, 59, 1), (1, 59, 1), (2, 59, 1), (3, 59, 1), (0, 59, 5), (5, 59, 5), (6, 59, 5), (0, 59, None), (0, 59, None)], key=str)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (None, 3), (205, 200), (205, 201)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
