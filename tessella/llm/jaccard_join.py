@@ -1,13 +1,15 @@
 """N-gram Jaccard join under several global token orders.
 
 Sets of word shingles as similar as the threshold share a token within a short prefix of each of them, under whatever
-order all sets are sorted by. The first order puts frequent tokens last and generates candidates; a candidate must also
-share prefix tokens under each of the other orders before its overlap is counted.
+order all sets are sorted by. The first order puts frequent tokens last and generates candidates, whose places of the
+token bound their overlap. Prefixes under the other orders are made beside the sets' bitmaps, and a candidate must share
+tokens of every one of them, and pass the bitmaps, before any set is fetched and its overlap counted.
 
 Documents with equal sets are one node. A token that few nodes have in their prefix pairs them all; of a token of many,
-every node is paired with the token's smallest node only, which suffices where all end up in one component. The tokens
-for which it doesn't are found afterwards, those with the same smallest node are united, and their nodes compared across
-components in blocks, behind filters of lengths and bitmaps that never lose a link.
+every node is paired with one of them only, that which lies nearest to what they all share, which suffices where all end
+up in one component. The tokens for which it doesn't are found afterwards; those with the same centre are united, and
+their nodes in different components, as far as their places let them link, compared in blocks. A pair of blocks gives no
+more links than it takes to unite what it links, so no step makes more rows than a group has nodes, times its blocks.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textnum
-from tessella.llm.cluster import lean, partitions, ship, written
+from tessella.llm.cluster import lean, partitions, ship, skew_join, written
 from tessella.llm.components import components
 from tessella.llm.textnum import U
 
-SMALL, BLOCK = 6, 512
+SMALL, BLOCK = 6, 4096
+BLOCK_SHINGLES = 1_000_000
+SHORT = 100  # a prefix of so many tokens is kept by 16 bits of each, a longer one by 32
 BROADCAST_ROWS = 500_000  # ids and numbers of 16 bytes each
 ORDERS = (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93)  # besides the first
-TOKEN = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4")])
+TOKEN = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +101,25 @@ class Bitmaps:
         return left, right
 
 
+def binaries(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of binary arrays, and n + 1 offsets."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two ascending arrays without repetitions share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = y.searchsorted(x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum()) if len(y) else 0
+
+
 class Joiner:
     """The join for shingles of k words and 100 * intersection >= percent * union."""
 
@@ -113,6 +136,15 @@ class Joiner:
         """The smallest intersection with which sets of these sizes link."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def in_reach(self, na, at_a, nb, at_b) -> np.ndarray:
+        """False where sets of these sizes, whose first common token has these places, can't link: what comes before it isn't shared."""
+        need = self.least_overlap(na, nb)
+        return self.alike_in_size(na, nb) & (na - at_a >= need) & (nb - at_b >= need)
+
+    def in_reach_sql(self, na: str, at_a: str, nb: str, at_b: str) -> str:
+        need = f"ceil({self.percent} * ({na} + {nb}) / {100 + self.percent})"
+        return f"least({na}, {nb}) * 100 >= greatest({na}, {nb}) * {self.percent} and {na} - {at_a} >= {need} and {nb} - {at_b} >= {need}"
+
     def profile(self, parts, key: str, text: str):
         """A row for each document, and the tokens that many of a task's nodes have, with their numbers."""
         pending, nodes, met = [], 0, set()
@@ -121,14 +153,14 @@ class Joiner:
             tokens, counts = np.unique(np.concatenate(pending), return_counts=True)
             often = counts >= max(2, int(nodes * self.frequent / 4))
             n = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names)
 
-        names, kind = [key, "n", "node", "bits", "token", "count"], pa.int64()
+        names, kind = [key, "n", "node", "token", "count"], pa.int64()
         for part in textnum.slices(parts, text):
             values, offsets = shingles(part.column(text), self.k)
             ids, n, kind = set_ids(values, offsets), np.diff(offsets), part.schema.field(key).type
             rows = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int32)), pa.array(ids), pa.array(bitmaps(values, offsets), pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n.astype(np.int32)), pa.array(ids), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names)
             new = self.first_met(ids, n, met)
             nodes += len(new)
             pending.append(values[textnum.ranges(offsets[new], n[new])])
@@ -182,7 +214,7 @@ class Joiner:
             place = np.where(often, n_rare[owner] + (np.arange(len(values)) - begin[owner] - rare_before), rare_before)
             chosen = place < self.prefix_sizes(n[new])[owner]
             rows = np.empty(int(chosen.sum()), TOKEN)
-            rows["token"], rows["node"], rows["n"] = values[chosen], ids[new][owner[chosen]], n[new][owner[chosen]]
+            rows["token"], rows["node"], rows["n"], rows["at"] = values[chosen], ids[new][owner[chosen]], n[new][owner[chosen]], place[chosen]
             pending.append(rows)
             if sum(map(len, pending)) > 1_500_000:
                 yield flush()
@@ -191,36 +223,42 @@ class Joiner:
             yield flush()
 
     def groups(self, parts):
-        """Of rows sorted by bucket: candidate pairs of the bucket's tokens, and the members of its large groups: rows (a, b, null) and (node, null, token).
+        """Of rows sorted by bucket: candidate pairs of the bucket's tokens, rows (a, b, null..), and the members of its large groups, rows (node, null, token, n, at).
 
-        Frequent tokens of a negative bucket come back as rows (node, null, token, size of its set).
+        Frequent tokens of a negative bucket come back as members, too.
         """
-        names = ["a", "b", "token", "n"]
+        names = ["a", "b", "token", "n", "at"]
+
+        def members(rows: np.ndarray) -> pa.RecordBatch:
+            columns = (np.ascontiguousarray(rows[c]) for c in ("node", "token", "n", "at"))
+            node, token, n, at = (pa.array(c.view(np.int64) if c.dtype == U else c) for c in columns)
+            return pa.RecordBatch.from_arrays([node, pa.nulls(len(rows), pa.int64()), token, n, at], names)
 
         def of(pending: list[bytes], frequent: bool):
             rows = np.unique(np.frombuffer(b"".join(pending), TOKEN))
             if frequent:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["node"])), pa.nulls(len(rows), pa.int64()), pa.array(np.ascontiguousarray(rows["token"]).view(np.int64)), pa.array(np.ascontiguousarray(rows["n"]))], names)
+                yield members(rows)
                 return
             new = np.ones(len(rows), bool)
             new[1:] = rows["token"][1:] != rows["token"][:-1]
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(rows)))
+            n, at = rows["n"].astype(np.int64), rows["at"].astype(np.int64)
+            smallest = np.repeat(np.minimum.reduceat(n, begin), size) if len(rows) else n
             a, b = [], []
             for step in range(1, SMALL):  # pairs of small groups
                 group = np.flatnonzero((size > step) & (size <= SMALL))
                 left = textnum.ranges(begin[group], size[group] - step)
                 a.append(left)
                 b.append(left + step)
-            large = np.flatnonzero(size > SMALL)
-            member = textnum.ranges(begin[large], size[large])
-            pivot = np.repeat(begin[large], size[large])
-            a, b = np.concatenate([*a, pivot[member != pivot]]), np.concatenate([*b, member[member != pivot]])
-            fits = self.alike_in_size(rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64))
+            a, b = np.concatenate(a), np.concatenate(b)
+            fits = self.in_reach(n[a], at[a], n[b], at[b])
             pairs = np.stack([rows["node"][a[fits]], rows["node"][b[fits]]], 1)
             pairs = np.unique(np.stack([pairs.min(1), pairs.max(1)], 1), axis=0) if len(pairs) else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["node"][member])), pa.nulls(len(member), pa.int64()), pa.array(np.ascontiguousarray(rows["token"][member]).view(np.int64)), pa.nulls(len(member), pa.int32())], names)
+            none = [pa.nulls(len(pairs), kind) for kind in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), *none], names)
+            least = np.maximum(smallest, -(-self.percent * n // 100))  # no member that links is smaller
+            yield members(rows[np.repeat(size > SMALL, size) & (n - at >= self.least_overlap(n, least))])
 
         at, pending = None, []
         for part in parts:
@@ -238,63 +276,128 @@ class Joiner:
         need = self.least_overlap(na, nb)
         return self.alike_in_size(na, nb) & (only_a <= na - need) & (only_b <= nb - need)
 
-    def sift(self, parts):
-        """Of rows (a, b, na, nb, bits_a, bits_b) the pairs that may link."""
-        for part in parts:
-            a, b = (Bitmaps(part.column(c).to_pylist()) for c in ("bits_a", "bits_b"))
-            na, nb = (part.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            each = np.arange(part.num_rows)
-            passed = pa.array(self.may_link(na, nb, *a.only(b, each, each)))
-            yield pa.RecordBatch.from_arrays([part.column(c).filter(passed) for c in ("a", "b")], ["a", "b"])
-
-    def verify(self, parts):
-        """Of rows (a, b, text_a, text_b) those that share prefix tokens under every other order and then overlap enough."""
-        for part in textnum.slices(parts, "text_a", 1 << 20):
-            (va, oa), (vb, ob) = shingles(part.column("text_a"), self.k), shingles(part.column("text_b"), self.k)
-            linked = np.zeros(part.num_rows, bool)
-            heads_a, heads_b = ([self.heads(v[o[i] : o[i + 1]]) for i in range(part.num_rows)] for v, o in ((va, oa), (vb, ob)))
-            for i in range(part.num_rows):
-                if all(np.isin(x, y, assume_unique=True).any() for x, y in zip(heads_a[i], heads_b[i], strict=True)):
-                    x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                    both = int(np.isin(x, y, assume_unique=True).sum())
-                    linked[i] = 100 * both >= self.percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(linked)) for c in ("a", "b")], ["a", "b"])
-
-    def texts(self, parts, text: str):
-        """(node, text) of each set, once a task as far as it remembers."""
-        met: set = set()
-        for part in textnum.slices(parts, text):
-            values, offsets = shingles(part.column(text), self.k)
-            ids = set_ids(values, offsets)
-            new = self.first_met(ids, np.diff(offsets), met)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[new]), part.column(text).take(pa.array(new))], ["node", "text"])
-
-    def heads(self, values: np.ndarray) -> list[np.ndarray]:
+    def heads(self, values: np.ndarray) -> bytes:
+        """A set's prefixes under the orders but the first, one after the other, in 16 or 32 bits a token."""
         size = int(self.prefix_sizes(np.array([len(values)]))[0])
         out = []
         for salt in ORDERS:
             ranks = textnum.mix(values ^ U(salt))
             out.append(values[np.argpartition(ranks, size - 1)[:size]] if size < len(values) else values)
-        return out
+        return np.concatenate(out).astype("<u2" if size <= SHORT else "<u4").tobytes()
+
+    def signatures(self, parts, text: str):
+        """(node, n, bits, heads) of each set, once a task as far as it remembers."""
+        for ids, values, offsets in self.sets_of(parts, text):
+            heads = [self.heads(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offsets).astype(np.int32)), pa.array(bitmaps(values, offsets), pa.binary()), pa.array(heads, pa.binary())], ["node", "n", "bits", "heads"])
+
+    def whole_sets(self, parts, text: str):
+        """(node, shingles) of each set, once a task as far as it remembers."""
+        for ids, values, offsets in self.sets_of(parts, text):
+            shingles_ = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shingles_, pa.binary())], ["node", "shingles"])
+
+    def sets_of(self, parts, text: str):
+        met: set = set()
+        for part in textnum.slices(parts, text):
+            values, offsets = shingles(part.column(text), self.k)
+            ids, n = set_ids(values, offsets), np.diff(offsets)
+            new = self.first_met(ids, n, met)
+            yield ids[new], values[textnum.ranges(offsets[new], n[new])], np.concatenate([[0], np.cumsum(n[new])])
+
+    def meet(self, a: pa.Array, b: pa.Array, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """Whether the prefixes of each pair share a token under every order but the first."""
+        sides = []
+        for column, n in ((a, na), (b, nb)):
+            size = self.prefix_sizes(n)
+            raw, offsets = binaries(column, np.uint16)
+            wide = size > SHORT
+            tokens = np.empty(int((len(ORDERS) * size).sum()), np.uint32)
+            begin = np.cumsum(len(ORDERS) * size) - len(ORDERS) * size
+            for some, step in ((~wide, 1), (wide, 2)):
+                into, out = (textnum.ranges(x[some], len(ORDERS) * size[some] * by) for x, by in ((begin, 1), (offsets[:-1], step)))
+                tokens[into] = raw[out] if step == 1 else np.ascontiguousarray(raw[out]).view(np.uint32)
+            sides.append((tokens, begin, size, wide))
+        short = ~(sides[0][3] & sides[1][3])
+        passed = np.ones(len(na), bool)
+        for order in range(len(ORDERS)):
+            keys = []
+            for tokens, begin, size, _ in sides:
+                owner = np.repeat(np.arange(len(size)), size)
+                own = tokens[textnum.ranges(begin + order * size, size)]
+                own = np.where(short[owner], own & np.uint32(0xFFFF), own)
+                keys.append(np.unique(owner.astype(U) << U(32) | own))
+            both = np.intersect1d(*keys, assume_unique=True) >> U(32)
+            passed &= np.bincount(both.astype(np.int64), minlength=len(na)) > 0
+        return passed
+
+    def sift(self, parts):
+        """Of rows (a, b, na, nb, bits_a, bits_b, heads_a, heads_b) the pairs whose prefixes meet under every order and that may link by sizes and bitmaps."""
+        for whole in parts:
+            for part in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                na, nb = (part.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+                part = part.filter(pa.array(self.meet(part.column("heads_a"), part.column("heads_b"), na, nb)))
+                na, nb = (part.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+                a, b = (Bitmaps(part.column(c).to_pylist()) for c in ("bits_a", "bits_b"))
+                each = np.arange(part.num_rows)
+                passed = pa.array(self.may_link(na, nb, *a.only(b, each, each)))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(passed) for c in ("a", "b")], ["a", "b"])
+
+    def verify(self, parts):
+        """Of rows (a, b, shingles_a, shingles_b) those that overlap enough."""
+        for whole in parts:
+            for part in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                (va, oa), (vb, ob) = (binaries(part.column(c), U) for c in ("shingles_a", "shingles_b"))
+                linked = np.zeros(part.num_rows, bool)
+                for i in range(part.num_rows):
+                    linked[i] = self.linked(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]])
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(linked)) for c in ("a", "b")], ["a", "b"])
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> bool:
+        both = overlap(x, y)
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
 
     def across(self, frame):
-        """Pairs of a block pair in different components that pass the filters of sizes and bitmaps, each in the first group that both are in."""
+        """Links that unite what a pair of blocks links: one for each two components that become one.
+
+        frame: i, j, block, node, root, at, shingles. Pairs are told apart by sizes, places and bitmaps, then counted.
+        """
         import pandas as pd
 
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        left, right = frame[frame["block"] == i], frame[frame["block"] == j]
-        a, b = Bitmaps(left["bits"].tolist()), Bitmaps(right["bits"].tolist())
-        na, nb = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
-        passed = (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]) & self.alike_in_size(na[:, None], nb[None, :])
-        x, y = np.nonzero(passed)
-        good = self.may_link(na[x], nb[y], *a.only(b, x, y))
-        x, y = x[good], y[good]
-        pivot = frame["pivot"].iloc[0]
-        of_x, of_y = ({r: frozenset(side["pivots"].iloc[r].tolist()) for r in set(rows.tolist())} for side, rows in ((left, x), (right, y)))
-        first = np.array([min(of_x[r] & of_y[q]) == pivot for r, q in zip(x.tolist(), y.tolist(), strict=True)], bool)
-        x, y = x[first], y[first]
-        u, v = left["node"].to_numpy()[x], right["node"].to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+        sides = []
+        for block in dict.fromkeys((i, j)):
+            own = frame[frame["block"] == block].sort_values("node")
+            sets = [np.frombuffer(x, U) for x in own["shingles"]]
+            n = np.array([len(x) for x in sets], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            bits = Bitmaps(bitmaps(np.concatenate(sets), offsets)) if len(sets) else Bitmaps([])
+            sides.append((own["node"].to_numpy(), own["root"].to_numpy(), n, own["at"].to_numpy(np.int64), sets, bits))
+        left, right = sides[0], sides[-1]
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in top:
+                x = top[x]
+            return x
+
+        out = []
+        step = max(1, 2_000_000 // max(1, len(right[0])))
+        for begin in range(0, len(left[0]), step):
+            rows = slice(begin, begin + step)
+            passed = left[1][rows, None] != right[1][None, :]
+            passed &= self.in_reach(left[2][rows, None], left[3][rows, None], right[2][None, :], right[3][None, :])
+            if i == j:
+                passed &= left[0][rows, None] < right[0][None, :]
+            x, y = np.nonzero(passed)
+            x = x + begin
+            good = self.may_link(left[2][x], right[2][y], *left[5].only(right[5], x, y))
+            for p, q in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                u, v = find(int(left[1][p])), find(int(right[1][q]))
+                if u != v and self.linked(left[4][p], right[4][q]):
+                    top[max(u, v)] = min(u, v)
+                    out.append((int(left[0][p]), int(right[0][q])))
+        return pd.DataFrame({"a": np.array([min(x) for x in out], np.int64), "b": np.array([max(x) for x in out], np.int64)})
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, frequent: float = 0.0003) -> DataFrame:
@@ -315,29 +418,20 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     join = Joiner(k, percent, frequent)
     kind = docs.schema[key].dataType.simpleString()
     docs = docs.select(key, text)
-    table = written(docs.mapInArrow(lean(lambda parts: join.profile(parts, key, text)), f"`{key}` {kind}, n int, node bigint, bits binary, token bigint, count bigint"), "profile")
-    rows = table.where("token is null").select(key, "n", "node", "bits")
+    table = written(docs.mapInArrow(lean(lambda parts: join.profile(parts, key, text)), f"`{key}` {kind}, n int, node bigint, token bigint, count bigint"), "profile")
+    rows = table.where("token is null").select(key, "n", "node")
     totals = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("n") > 0, (F.col("n") * (100 - percent)) / 100 + 1)).alias("tokens")).first()
     often = table.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= max(8.0, totals["docs"] * frequent))
     frequent_tokens = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in often.select("token").toLocalIterator()], np.int64).view(U)))
     buckets = max(partitions(spark), int((totals["tokens"] or 0) // 1_000_000) + 1)
     packed = docs.mapInArrow(lean(lambda parts: join.prefixes(parts, text, frequent_tokens.value, buckets)), "bucket int, data binary")
     gathered = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = written(gathered.mapInArrow(lean(join.groups), "a bigint, b bigint, token bigint, n int"), "candidates")
-    hot = found.where("n is not null").select("token", F.col("a").alias("node"), "n").distinct()
-    pivots = hot.groupBy("token").agg(F.min(F.struct("node", "n")).alias("p"))
-    pivots = F.broadcast(pivots.select("token", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")))  # no more than the frequent tokens
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("node") != F.col("pivot"))
-    stars = hot.join(pivots, "token").where(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    candidates = found.where("token is null").select("a", "b").unionByName(stars).distinct()
-    members = found.where("token is not null").select("token", F.col("a").alias("node")).distinct()
-
-    reps = written(rows.where("n > 0").groupBy("node").agg(F.min(key).alias("_rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(lean(join.sift), "a bigint, b bigint"), "pairs")
-        wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "_rep"), "node"), "wanted")
+    found = written(gathered.mapInArrow(lean(join.groups), "a bigint, b bigint, token bigint, n int, at int"), "candidates")
+    reps = written(rows.where("n > 0").groupBy("node").agg(F.min(key).alias("_rep")), "nodes")
+
+    def fetched(nodes: DataFrame, make, schema: str) -> DataFrame:
+        """What make gives for the sets of these nodes, a row for each; one document of each set is read again."""
+        wanted = written(nodes.distinct().join(reps, "node"), "wanted")
         small = wanted.count() <= BROADCAST_ROWS  # else the documents are shuffled
         keys, nodes = wanted.where("_rep is not null").select("_rep").distinct(), wanted.select("node")
         near = docs.withColumnRenamed(key, "_rep").select("_rep", text)
@@ -345,31 +439,51 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
         if not wanted.where("_rep is null").isEmpty():  # sets found on rows without a key only
             some = some.unionByName(near.where("_rep is null"))
         # A key may stand on rows of different sets: each text goes by its own.
-        some = some.select(text).mapInArrow(lean(lambda parts: join.texts(parts, text)), "node bigint, text string")
-        texts = written(some.join(F.broadcast(nodes) if small else nodes, "node").groupBy("node").agg(F.min("text").alias("text")), "texts")
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return written(both.mapInArrow(lean(join.verify), "a bigint, b bigint"), "verified")
-
-    links = verified(candidates)
+        some = some.select(text).mapInArrow(lean(lambda parts: make(parts, text)), schema)
+        some = some.join(F.broadcast(nodes) if small else nodes, "node", "left_semi")
+        return some.groupBy("node").agg(*(F.first(c).alias(c) for c in some.columns if c != "node"))
+
+    def of_pairs(pairs: DataFrame, make, schema: str) -> DataFrame:
+        """pairs (a, b) with the columns of what is fetched of both, named by side."""
+        got = fetched(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), make, schema)
+        side = lambda x: got.select(F.col("node").alias(x), *(F.col(c).alias(f"n{x}" if c == "n" else f"{c}_{x}") for c in got.columns if c != "node"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    # Of a large group the centre is the member whose first token of any large group comes first: it has the least of its own.
+    members = found.where("token is not null").select("token", F.col("a").alias("node"), "n", "at")
+    members = written(members.join(members.groupBy("node").agg(F.min("at").alias("own")), "node"), "members")
+    centres = written(members.groupBy("token").agg(F.min(F.struct("own", "node", "n", "at")).alias("p"), F.count(F.lit(1)).alias("m")), "centres")
+    stars = skew_join(members, centres, ["token"], "m").select("node", "n", "at", F.col("p.node").alias("centre"), F.col("p.n").alias("cn"), F.col("p.at").alias("cat"))
+    stars = stars.where(f"node <> centre and {join.in_reach_sql('n', 'at', 'cn', 'cat')}").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    candidates = written(found.where("token is null").select("a", "b").unionByName(stars).distinct(), "pairs")
+    likely = of_pairs(candidates, join.signatures, "node bigint, n int, bits binary, heads binary").select("a", "b", "na", "nb", "bits_a", "bits_b", "heads_a", "heads_b")
+    likely = written(likely.mapInArrow(lean(join.sift), "a bigint, b bigint"), "likely")
+    both = of_pairs(likely, join.whole_sets, "node bigint, shingles binary").select("a", "b", "shingles_a", "shingles_b")
+    links = written(both.mapInArrow(lean(join.verify), "a bigint, b bigint"), "verified")
     roots = components(links)
 
-    labelled = members.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    tokens = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("pivot")).where("lo < hi")
-    # Tokens of one smallest node make one group: drifting copies share hundreds of them, and each pair would meet at every one.
-    open_nodes = written(labelled.join(tokens, "token").select("pivot", "node", "root").distinct(), "open")
-    groups = written(open_nodes.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "groups")  # no two have the same nodes
-    if not groups.isEmpty():
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        meets = F.collect_list(F.struct("pivot", blocks.alias("blocks"))).alias("meets")  # no more than the prefix has tokens
-        own = open_nodes.join(groups, "pivot").groupBy("node").agg(F.first("root").alias("root"), meets).join(reps.select("node", "n", "bits"), "node")
-        own = own.select("node", "root", "n", "bits", F.col("meets.pivot").alias("pivots"), F.explode("meets").alias("meet"))
-        own = own.select("meet.*", *own.columns[:5], F.pmod(F.xxhash64("node", F.lit(1)), "meet.blocks").cast("int").alias("block"))
+    # Groups that more than one component has a part in. Those of one centre are one: drifting copies share hundreds of tokens.
+    labelled = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+    split = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min(F.struct("own", "node")).alias("p"))
+    split = written(split.where("lo < hi").select("token", "m", F.col("p.node").alias("centre")), "split")
+    if not split.isEmpty():
+        some = skew_join(labelled, split, ["token"], "m").groupBy("centre", "node").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("root").alias("root"))
+        some = written(some, "open")
+        sizes = written(some.groupBy("centre").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")), "sizes")
+        least = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+        some = skew_join(some, sizes, ["centre"], "m").where(F.col("n") - F.col("at") >= F.ceil((F.col("n") + least) * percent / (100 + percent)))
+        some = written(some.select("centre", "node", "n", "at", "root"), "open")
+        sizes = some.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        sizes = written(sizes.select("centre", "m", blocks.alias("blocks")), "sizes")
+        own = written(skew_join(some, sizes, ["centre"], "m").select("centre", "node", "at", "root", "blocks"), "compared")
+        own = own.join(fetched(own.select("node"), join.whole_sets, "node bigint, shingles binary"), "node")
+        own = own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
         spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        more = spread.groupBy("pivot", "i", "j").applyInPandas(lambda frame: join.across(frame), "a bigint, b bigint").where("a != b").distinct()
-        links = links.unionByName(verified(more))
-        roots = components(links)
-    named = reps.select("node", "_rep").join(roots, "node", "left").select("node", "_rep", F.coalesce("root", "node").alias("root"))
+        spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+        more = spread.groupBy("centre", "i", "j").applyInPandas(lambda frame: join.across(frame), "a bigint, b bigint")
+        roots = components(links.unionByName(written(more, "across")))
+    named = reps.join(roots, "node", "left").select("node", "_rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("_rep").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id")
     full = rows.where("n > 0").select(key, "n", "node").join(named, "node").select(key, F.col("n").cast("long").alias("n_shingles"), "component_id")
