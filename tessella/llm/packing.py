@@ -1,11 +1,15 @@
 """Best-fit packing: which pieces share a sequence follows from the histogram of their lengths alone.
 
 The configuration linear program (how often to use each multiset of lengths that fits a sequence, so that all lengths
-are covered by as few sequences as possible) is first dealt by multiplicative weights: a length's price is its share of a
-sequence times a weight that falls as it is covered; a knapsack dynamic program finds the configuration of the highest
-price, which is taken in whole steps while it fills a sequence. Where that ends more than a gap above the total length,
-the program itself is solved: the knapsack gives any configurations worth more than a sequence at the current prices,
-full or not, until prices prove the gap. The solution is rounded; what that leaves goes best fit, longest first.
+are covered by as few sequences as possible) is solved by multiplicative weights in rounds. A round has to cover its share
+of every length: a length's price is its share of a sequence times a weight, a knapsack dynamic program over the prices
+gives the most valuable configuration of each length that is behind, and each is used for what is missing, as far as the
+round's share of its other lengths goes. Weights of lengths that are ahead of their share are multiplied down, those of
+others up. A length's share is rounded to whole documents at a random threshold of its own, so what the rounds use is a
+rounding of the fractional solution. What they leave (a few percent) goes best fit, longest first.
+
+Few different lengths can leave a gap to the prices' bound that a rounding of weights doesn't close; there the program is
+solved to a stated gap by revised simplex over columns of the same knapsack, and rounded.
 """
 
 from __future__ import annotations
@@ -49,18 +53,72 @@ def traced(k: int, took: np.ndarray, size: np.ndarray, capacity: int) -> dict[in
     return have
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 4, rate: float = 0.1, share: float = 0.2, gap: float = 0.0025) -> list[tuple[int, list[int]]]:
-    """(number of sequences, their lengths in order) that pack the histogram exactly.
+#: Rounds, the part of all documents that they deal, and the most tokens that a configuration may leave free.
+SCHEDULES = ((60, 1.0, None), (20, 0.9, None), (20, 1.0, 0))
+FEW_LENGTHS = 256
 
-    Dealt by weights where that is within `gap` and a fiftieth of the number of lengths of the total length over the
-    capacity, else the best of that, best fit and the program's solution, rounded; before rounding that is within a fifth
-    of `gap` of the program's optimum. A solution has up to as many fractions as there are lengths, which rounding loses.
+
+def configurations(histogram: dict[int, int], capacity: int, gap: float = 0.0025, seed: int = 0) -> list[tuple[int, list[int]]]:
+    """(number of sequences, their lengths in order) that pack the histogram exactly: the fewest that the schedules of
+    weights give. Best fit alone stands only where it needs fewer still, which few documents of each length cause, as
+    rounds deal in whole ones. Up to FEW_LENGTHS lengths the program is solved by simplex where the rest is beyond `gap`
+    of the prices' bound and a fiftieth of the number of lengths.
     """
-    out = dealt(histogram, capacity, rounds, rate, share)
-    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
-    if sum(n for n, _ in out) <= least * (1 + gap) + len(histogram) / 50:
-        return out
-    return min([out, best_fit(histogram, capacity), *rounded(histogram, capacity, *program(histogram, capacity, gap / 5))], key=lambda x: sum(n for n, _ in x))
+    found, least = [], 0.0
+    for rounds, share, slack in SCHEDULES:
+        configs, bound = weighted(histogram, capacity, rounds, share, slack, seed)
+        left = dict(histogram)
+        for n, filled in configs:
+            for length in filled:
+                left[length] -= n
+        found.append(configs + best_fit({k: n for k, n in left.items() if n}, capacity))
+        least = max(least, bound)
+    found.append(best_fit(histogram, capacity))
+    size = lambda x: sum(n for n, _ in x)
+    best = min(found, key=size)
+    if len(histogram) <= FEW_LENGTHS and size(best) > np.ceil(least - 1e-6) * (1 + gap) + len(histogram) / 50:
+        best = min([best, *rounded(histogram, capacity, *program(histogram, capacity, gap / 5))], key=size)
+    return best
+
+
+def weighted(histogram: dict[int, int], capacity: int, rounds: int, share: float, slack: int | None, seed: int, rate: float = 0.1, noise: float = 0.003) -> tuple[list[tuple[int, list[int]]], float]:
+    """Configurations dealt by multiplicative weights, and the greatest lower bound that prices gave on the program.
+
+    noise: prices are spread by so much, so that lengths of equal worth take turns.
+    """
+    rng = np.random.default_rng(seed)
+    size = np.array(sorted(n for n, c in histogram.items() if c > 0), np.int64)
+    counts = np.array([histogram[int(n)] for n in size], np.int64)
+    prior, threshold = size / capacity, rng.random(len(size))
+    log_weights, used = np.zeros(len(size)), np.zeros(len(size), np.int64)
+    out: list[tuple[int, list[int]]] = []
+    least = float(prior @ counts)
+    for t in range(1, int(rounds * share) + 1 if len(size) else 0):
+        goal, most = (np.minimum(counts, np.floor((t + ahead) / rounds * counts + threshold + ahead).astype(np.int64)) for ahead in (0, 1))
+        for again in range(3):
+            behind = np.flatnonzero(goal > used)
+            if not len(behind):
+                break
+            live = np.flatnonzero(most > used)
+            prices = prior[live] * np.exp(log_weights[live] + noise * rng.standard_normal(len(live)))
+            best, took = knapsack(prices, size[live], capacity)
+            if len(live) == len(size):  # no configuration is worth more than best: prices by that are a solution of the dual program
+                least = max(least, float(prices @ counts / best[capacity]))
+            place = np.searchsorted(live, behind)
+            for k, at in zip(behind[::-1].tolist(), place[::-1].tolist(), strict=True):
+                if used[k] >= goal[k]:
+                    continue
+                have = {int(live[i]): m for i, m in traced(at, took, size[live], capacity).items()}
+                if slack is not None and capacity - sum(int(size[i]) * m for i, m in have.items()) > slack:
+                    continue
+                n = min(-(-int(goal[k] - used[k]) // have[k]), *((int(most[i]) - int(used[i])) // m for i, m in have.items()))
+                if n > 0:
+                    for i, m in have.items():
+                        used[i] += n * m
+                    out.append((n, [int(size[i]) for i in sorted(have, reverse=True) for _ in range(have[i])]))
+        ahead_by = (used - t / rounds * counts) / np.maximum(counts / rounds, 1)
+        log_weights -= rate * np.clip(ahead_by, -1, 1) / np.sqrt(t)
+    return out, least
 
 
 def program(histogram: dict[int, int], capacity: int, gap: float) -> tuple[list[dict[int, int]], np.ndarray]:
@@ -150,45 +208,6 @@ def rounded(histogram: dict[int, int], capacity: int, columns: list[dict[int, in
     return [plain, out + best_fit({t: n for t, n in left.items() if n}, capacity)]
 
 
-def dealt(histogram: dict[int, int], capacity: int, rounds: int, rate: float, share: float) -> list[tuple[int, list[int]]]:
-    """Configurations without slack in whole steps, then best fit.
-
-    Each round prices the lengths, solves the knapsack once for all rooms, and takes for each length, longest first, the
-    most valuable configuration that holds it, where its value is near the greatest; `share` of what is left of its
-    scarcest length, in whole numbers. A length's weight is multiplied down as its demand is covered.
-    """
-    lengths = np.array(sorted(n for n, c in histogram.items() if c > 0 and n < capacity), np.int64)
-    counts = np.array([histogram[int(n)] for n in lengths], np.int64)
-    out: list[tuple[int, list[int]]] = []
-    if histogram.get(capacity):
-        out.append((histogram[capacity], [capacity]))
-    left, weights = counts.copy(), np.ones(len(lengths))
-    for _ in range(rounds if len(lengths) else 0):
-        live = np.flatnonzero(left)
-        if not len(live):
-            break
-        size, prices = lengths[live], lengths[live] / capacity * weights[live]
-        best, took = knapsack(prices, size, capacity)
-        value = prices + best[capacity - size]
-        done = False
-        for k in np.flatnonzero(value >= (1 - 0.02) * value.max())[::-1].tolist():
-            have = traced(k, took, size, capacity)
-            if capacity - sum(int(size[t]) * c for t, c in have.items()) > 0:
-                continue  # best fit does as well with what is left
-            most = min(int(left[live[t]]) // c for t, c in have.items())
-            n = min(most, max(int(most * share), int(left[live[k]] > 0)))
-            if n > 0:
-                done = True
-                for t, c in have.items():
-                    left[live[t]] -= n * c
-                out.append((n, [int(size[t]) for t in sorted(have, reverse=True) for _ in range(have[t])]))
-        covered = 1 - left / counts
-        weights *= np.exp(-rate * (covered - covered.mean()))
-        if not done:
-            break
-    return out + best_fit({int(a): int(b) for a, b in zip(lengths, left, strict=True) if b}, capacity)
-
-
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     """Best fit, longest first, where sequences alike are handled together."""
     rooms: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]

@@ -125,3 +125,19 @@ def test_sparse_histograms_reach_the_optimum(histogram, optimum, m):
         for x in filled:
             used[x] += n
     assert dict(used) == histogram and sum(n for n, _ in configs) == optimum * m
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_weights_place_most_and_beat_best_fit(times):
+    rng = np.random.default_rng(1)
+    lengths = np.concatenate([rng.integers(1, 1024, 30_000), rng.integers(328, 333, 6_000), rng.gamma(2, 60, 14_000).astype(int) % 1023 + 1])
+    histogram = {int(k): int(v) * times for k, v in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    dealt, bound = packing.weighted(histogram, 1024, *packing.SCHEDULES[0], 0)
+    used = defaultdict(int)
+    for n, filled in dealt:
+        assert n > 0 and sum(filled) <= 1024
+        for x in filled:
+            used[x] += n
+    assert all(n <= histogram[k] for k, n in used.items()) and sum(used.values()) >= 0.95 * sum(histogram.values())
+    total = sum(n for n, _ in packing.configurations(histogram, 1024))
+    assert bound <= total <= 1.004 * bound and total < sum(n for n, _ in packing.best_fit(histogram, 1024))
