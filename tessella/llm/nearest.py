@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by counting collisions.
 
-Each of `projections` random directions keeps the vectors of a block in one sorted array. A query opens a window around
-its own projection in every array; virtual rehashing doubles the windows' radius, so no array is built again. A vector
-that lies in enough windows collides and is verified on the original vectors. The search of a block ends when as many
-verified vectors as asked for lie within the radius, or when the windows hold everything.
+Each of `projections` directions keeps the vectors of a block in one sorted array. A query opens a window around its own
+projection in every array; virtual rehashing widens the windows without building an array again, and only the vectors
+that enter a window are counted. A vector that lies in enough windows collides and is verified on the original vectors.
+The search of a block ends when as many verified vectors as asked for lie within the radius, or when the windows hold
+everything.
+
+Directions are those of random orthonormal bases: a difference's squared projections on a basis sum to its squared
+length, so counts of collisions follow distances closer than with independent directions, and fewer vectors are verified.
 
 Largest inner products are nearest vectors once every vector gets one more component that makes all equally long and
 queries are scaled to that length.
@@ -29,6 +33,22 @@ def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
+def directions(dimension: int, n: int, seed: int) -> np.ndarray:
+    """n columns of random orthonormal bases, scaled so that a unit vector's projection has variance 1."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) * dimension < n:
+        out.append(np.linalg.qr(rng.standard_normal((dimension, dimension)))[0] * math.sqrt(dimension))
+    return np.concatenate(out, 1)[:, :n]
+
+
+def radii(first: float, coarse: float, middle: float, fine: float) -> list[float]:
+    """Radii of the windows: in coarse steps up to the middle, in fine ones up to the greatest distance of unit vectors, 2."""
+    out = [first]
+    while out[-1] < 2:
+        out.append(out[-1] * (coarse if out[-1] * coarse <= middle else fine))
+    return out[:-1]
+
+
 class Index:
     """The sorted arrays of a block. greatest: a bound on the norms of all vectors."""
 
@@ -36,51 +56,46 @@ class Index:
         self.ids, self.vectors, self.greatest = ids, vectors, greatest
         scaled = vectors / greatest
         rest = np.sqrt(np.maximum(1 - (scaled * scaled).sum(1), 0))
-        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
+        self.directions = directions(vectors.shape[1] + 1, projections, seed)
         at = (scaled @ self.directions[:-1] + rest[:, None] * self.directions[-1]).T
-        order = np.argsort(at, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(at, order, 1)
-        self.place = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)  # where each vector stands in each array
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], 1)
+        self.order = np.argsort(at, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(at, self.order, 1)
+        self.counted = self.met = 0  # entries of windows and vectors verified, for measurements
 
-    def windows(self, queries: np.ndarray, first: float, width: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """For each radius, doubled while windows can miss a vector: where every query's window begins and ends in every array."""
+    def windows(self, queries: np.ndarray, steps: list[float], width: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where every query's window begins and ends (by query, radius and array)."""
         norms = np.sqrt((queries * queries).sum(1))
         centres = ((queries / norms[:, None]) @ self.directions[:-1]).T
-        out, radius = [], first
-        while radius < 2 and radius * width / 2 < 4 * math.sqrt(2):  # no vector is further off than 2
-            half = radius * width / 2
-            lo, hi = (np.stack([v.searchsorted(c + d, side) for v, c in zip(self.sorted, centres, strict=True)], 1) for d, side in ((-half, "left"), (half, "right")))
-            out.append((radius, lo, hi - lo))
-            radius *= 2
-        return out
-
-    def search(self, number: int, own: int, query: np.ndarray, windows: list, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        half = np.array(steps)[None, :] * width / 2
+        return tuple(np.stack([v.searchsorted(c[:, None] + half * sign, side) for v, c in zip(self.sorted, centres, strict=True)], 2) for sign, side in ((-1, "left"), (1, "right")))
+
+    def search(self, own: int, query: np.ndarray, steps: list[float], begin: np.ndarray, end: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best verified vectors but the one of id own, best first, ties by id."""
         n, m = len(self.ids), len(self.sorted)
         norm = math.sqrt(float((query * query).sum()))
         pending, scores = self.ids != own, np.full(n, -np.inf)
         need = min(k, int(pending.sum()))
-        count, shifted, inside = np.empty(n, np.uint8 if m < 256 else np.uint16), np.empty(n, self.place.dtype), np.empty(n, bool)
-        ones = inside.view(np.uint8)
-        for radius, lo, size in [*windows, (None, None, None)]:
+        count = np.zeros(n, np.int64)
+        before = [(x, x) for x in begin[0].tolist()]
+        for i, radius in enumerate([*steps, 2.0]):
             if not need:
                 break
-            if radius is None:
+            if i == len(steps):
                 met = pending  # the windows hold everything
             else:
-                count[:] = 0
-                for place, a, held in zip(self.place, lo[number].tolist(), size[number].tolist(), strict=True):
-                    np.subtract(place, a, out=shifted)  # wraps below the window
-                    np.less(shifted, held, out=inside)
-                    np.add(count, ones, out=count)
+                now = list(zip(begin[i].tolist(), end[i].tolist(), strict=True))
+                entered = [part for order, (a, b), (c, d) in zip(self.order, before, now, strict=True) for part in (order[c:a], order[b:d])]
+                entered = np.concatenate(entered)
+                count += np.bincount(entered, minlength=n)
+                before, self.counted = now, self.counted + len(entered)
                 met = (count >= threshold * m) & pending
             new = np.flatnonzero(met)
             if len(new):
                 scores[new] = inner_products(self.vectors[new], query)
-                pending = pending & ~met
-            enough = 1 - (radius or 2) ** 2 / 2  # the cosine, in the longer space, at this distance
-            if not pending.any() or int((scores >= enough * self.greatest * norm).sum()) >= need:
+                pending &= ~met
+                self.met += len(new)
+            enough = (1 - radius * radius / 2) * self.greatest * norm  # the inner product at this distance in the longer space
+            if int((scores >= enough).sum()) >= need:
                 break
         found = np.flatnonzero(scores > -np.inf)
         if len(found) > k:
@@ -90,10 +105,11 @@ class Index:
         return self.ids[best], scores[best]
 
 
-def usable(vectors: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vectors take part: not null, nonzero, of finite components only, and of the commonest length (ties: the longer)."""
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows that take part: with a key and a vector that is not null, nonzero, of finite components only, and of the commonest length (ties: the longer)."""
     fine = vectors.where(
-        F.col(vector).isNotNull()
+        F.col(key).isNotNull()
+        & F.col(vector).isNotNull()
         & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(vector, lambda x: x != 0)
     )
@@ -101,13 +117,14 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     return fine.where(F.size(vector) == (size["size"] if size else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", projections: int = 128, width: float = 2.1, threshold: float = 0.665, first: float = 0.3, block: int = 16_384, query_block: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", projections: int = 128, width: float = 2.4, threshold: float = 0.74, steps: tuple[float, float, float, float] = (0.25, 1.5, 0.85, 1.05), block: int = 16_384, query_block: int = 16_384, seed: int = 7) -> DataFrame:
     """(query_id, rank, <key>, score): each query's k nearest found by inner product, nearest first, ties to the smaller key.
 
-    queries: some of the rows of vectors, with the same columns. A query's own key is no candidate. Vectors that are
-    null, zero, of another length, or hold null or non-finite components take no part, neither as queries. With fewer
-    candidates than k all are returned. Equal vectors all collide alike, so none of a group of copies is missed. Repeated keys are not told
-    apart. Other columns are left out; empty tables give an empty result.
+    queries: some of the rows of vectors, with the same columns. A query's own key is no candidate. Rows without a key
+    and vectors that are null, zero, not of the commonest length, or hold null or non-finite components take no part,
+    neither as queries. With fewer candidates than k all are returned. Equal vectors all collide alike, so none of a
+    group of copies is missed. Repeated keys are not told apart. Other columns are left out; empty tables give an empty
+    result.
 
     Every row is indexed. Blocks of vectors meet blocks of queries, so a task holds at most `block` vectors and
     `query_block` queries whatever the table's size; each block gives k rows a query, and the best k of those stay.
@@ -116,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     ship(spark)
     kind = vectors.schema[key].dataType.simpleString()
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    table = written(usable(vectors.select(key, vector), vector).withColumn("_norm", norm), "vectors")
+    table = written(usable(vectors.select(key, vector), key, vector).withColumn("_norm", norm), "vectors")
     asked = written(table.select(key, vector).join(queries.select(key).distinct(), key, "left_semi"), "queries")
     totals, n_queries = table.agg(F.count(F.lit(1)), F.max("_norm")).first(), asked.count()
     greatest = float(totals[1] or 1.0) * (1 + 1e-12)
@@ -125,6 +142,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     data = table.select(key, vector, of(n, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("j"), F.lit(False).alias("asks"))
     both = data.unionByName(asked.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), of(q, 2).alias("j"), F.lit(True).alias("asks")))
 
+    widths = radii(*steps)
+
     def of_block(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids = group.column(key).to_numpy()
@@ -135,11 +154,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         if own.any() and asks.any():
             index = Index(ids[own], values[own], greatest, projections, seed)
             names, points = ids[asks], values[asks]
-            for begin in range(0, len(names), 256):
-                windows = index.windows(points[begin : begin + 256], first, width)
-                for i, (query, at) in enumerate(zip(names[begin : begin + 256].tolist(), points[begin : begin + 256], strict=True)):
-                    found, scores = index.search(i, query, at, windows, k, threshold)
-                    out.append((np.full(len(found), query), found, scores))
+            for at in range(0, len(names), 256):
+                some = points[at : at + 256]
+                for query, point, begin, end in zip(names[at : at + 256].tolist(), some, *index.windows(some, widths, width), strict=True):
+                    found, scores = index.search(query, point, widths, begin, end, k, threshold)
+                    out.append((np.full(len(found), query, ids.dtype), found, scores))
         columns = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, t) for c, t in enumerate((ids.dtype, ids.dtype, np.float64))]
         return pa.table(dict(zip(("query_id", key, "score"), columns, strict=True)))
 

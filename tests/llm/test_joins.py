@@ -151,3 +151,28 @@ def test_nearest_odd_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest(df, df.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 101), (0, 2, 100), (0, 3, 104), (100, 1, 101), (100, 2, 0), (100, 3, 104)]
     assert nearest.nearest(df.limit(0), df.limit(0), 20).count() == 0
+    keyless = spark.createDataFrame([(None, [1.0, 1.0]), (None, [1.0, 1.0]), *rows], "vec_id bigint, embedding array<double>")
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest(keyless, keyless, 1).where("query_id = 0").collect()] == [(0, 1, 101)]
+    assert nearest.nearest(keyless.where("vec_id is null"), keyless, 20).count() == 0
+
+
+def test_windows_hold_part_and_few_are_verified():
+    """On unit vectors without structure, the hardest case: every query's recall, and what is counted and verified."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = t.column("vec_id").to_numpy(), np.array(t.column("embedding").to_pylist())
+    rng = np.random.default_rng(0)
+    more = rng.standard_normal((8000, x.shape[1]))
+    x = np.concatenate([x, more / np.linalg.norm(more, axis=1)[:, None]])
+    ids = np.concatenate([ids, ids.max() + 20 * np.arange(1, 8001) + 1])
+    index, steps = nearest.Index(ids, x, 1.0, 128, 7), nearest.radii(0.25, 1.5, 0.85, 1.05)
+    asked = np.flatnonzero(ids[:2000] % 20 == 0)
+    recall = []
+    for q, begin, end in zip(asked, *index.windows(x[asked], steps, 2.4), strict=True):
+        found, _ = index.search(ids[q], x[q], steps, begin, end, 20, 0.74)
+        scores = nearest.inner_products(x, x[q])
+        scores[q] = -np.inf
+        recall.append(len(set(found.tolist()) & set(ids[np.argsort(-scores, kind="stable")[:20]].tolist())) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.75
+    assert index.met <= 0.1 * len(asked) * len(ids) and index.counted <= 0.8 * len(asked) * len(ids) * 128
