@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textnum
-from tessella.llm.cluster import ship
+from tessella.llm.cluster import lean, ship, skew_join, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,10 +42,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     least_chars code points found in at least `documents` different documents (values of the key column) loses its lines
     in all of them but the smallest; the others stay, joined by \\n. A null text counts as one empty line and becomes
     the empty text. A document with a null id isn't counted and loses nothing; rows with the same id are one document.
-    Ties can't arise: ids are compared. Columns of docs named n_lines or n_dropped are replaced.
+    Ties can't arise: ids are compared. Columns of docs named n_lines or n_dropped are replaced; others stay. An empty
+    table gives an empty result. Very long texts are single slices of a batch and never cut.
 
-    Exploded lines shrink to distinct (document, 128-bit hash) rows; groups are aggregated before the shuffle, joins
-    of frequent lines are split by AQE's skew join, and a document's own dropped keys come back to it as one array.
+    Exploded lines shrink to distinct (document, 128-bit hash) rows, written once; groups are aggregated before the
+    shuffle, rows of the most frequent lines aren't shuffled to meet them, and a document's own dropped keys come back
+    to it as one array.
     """
     ship(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -59,17 +61,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
             rows = np.unique(np.rec.fromarrays([owner[ok], high[ok], low[ok]], names="o,h,l"))
             yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(rows["o"])), pa.array(rows["h"]), pa.array(rows["l"])], [key, "high", "low"])
 
-    lines = docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(hashed, f"`{key}` {kind.simpleString()}, high bigint, low bigint")
+    lines = written(docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(lean(hashed), f"`{key}` {kind.simpleString()}, high bigint, low bigint"), "lines")
+    groups, n = lines.groupBy("high", "low"), F.count(F.lit(1)).alias("_n")
     if documents == 2:  # two different ids differ in their least and greatest
-        shared = lines.groupBy("high", "low").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).where("_first != _last")
+        shared = groups.agg(F.min(key).alias("_first"), F.max(key).alias("_last"), n).where("_first != _last")
     else:
-        shared = lines.distinct().groupBy("high", "low").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= documents)
-    gone = (
-        lines.join(shared.select("high", "low", "_first"), ["high", "low"])
-        .where(F.col(key) != F.col("_first"))
-        .groupBy(key)
-        .agg(F.collect_set(F.struct("high", "low")).alias("_gone"))
-    )
+        several = lines.distinct().groupBy("high", "low").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= documents)
+        shared = groups.agg(F.min(key).alias("_first"), n).join(several, ["high", "low"], "left_semi")
+    shared = written(shared.select("high", "low", "_first", "_n"), "shared")
+    gone = skew_join(lines, shared, ["high", "low"], "_n").where(F.col(key) != F.col("_first")).groupBy(key).agg(F.collect_set(F.struct("high", "low")).alias("_gone"))
 
     def reassembled(parts):
         for part in textnum.slices(parts, text):
@@ -93,4 +93,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     joined = docs.select(*names).join(gone, key, "left").select(*names, "_gone")
-    return joined.mapInArrow(reassembled, ", ".join([f"`{c}` {types[c]}" for c in names] + ["n_lines bigint, n_dropped bigint"]))
+    return joined.mapInArrow(lean(reassembled), ", ".join([f"`{c}` {types[c]}" for c in names] + ["n_lines bigint, n_dropped bigint"]))

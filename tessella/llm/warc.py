@@ -18,12 +18,13 @@ from tessella.llm.cluster import ship
 
 VERSION = "WARC/1.1"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space of URLs
-_UNSEEN = re.compile(r"<!--.*?-->|<(script|style|head|template|noscript)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|nav|header|footer|section|article|main|aside|blockquote|pre|hr|body|html|form|dl|dt|dd)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "head", "template", "noscript")}
+_BREAKS = frozenset("p div br li ul ol tr td th table h1 h2 h3 h4 h5 h6 nav header footer section article main aside blockquote pre hr body html form dl dt dd".split())
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"']+))""", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.I)
+_TITLE, _TITLE_END, _HTML = (re.compile(x, re.I) for x in (r"<title(?=[\s/>])", r"</title\s*>", r"<html(?=[\s/>])"))
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -36,13 +37,72 @@ def record_id(*names: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(10).join(names))}>"
 
 
-def plain_text(page: str) -> str:
-    """What a page shows, a line for each block: without comments, head, scripts and styles; entities resolved, blanks and blank lines folded."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _UNSEEN.sub("", page))))
-    lines = (_BLANKS.sub(" ", line).strip() for line in text.split("\n"))
+def scan(page: str) -> tuple[str, list[str]]:
+    """A page's visible text with \n where blocks begin and end, and the values of its links' href, as written.
+
+    One pass, whatever the page: a comment goes to its -->, a hidden element to its end tag, any other tag to the next >.
+    What has no end is looked for once: a comment or hidden element without one is an ordinary tag, and from a tag without
+    one on all is text. Linear in the page's length.
+    """
+    out, links, done = [], [], 0
+    endless: set[str] = set()
+    found = _MARKUP.search(page)
+    while found:
+        at = found.start()
+        stop = None
+        if page.startswith("<!--", at) and "--" not in endless:
+            stop = page.find("-->", at + 4) + 3
+            if stop < 3:
+                endless.add("--")
+                stop = None
+        break_ = ""
+        if stop is None:
+            stop = page.find(">", at) + 1
+            if not stop:
+                break
+            name = _NAME.match(page, at)
+            if name:
+                kind = name[2].lower()
+                break_ = "\n" if kind in _BREAKS else ""
+                if not name[1] and kind in _HIDDEN and kind not in endless:
+                    end = _HIDDEN[kind].search(page, stop)
+                    if end:
+                        stop = end.end()
+                    else:
+                        endless.add(kind)
+                elif not name[1] and kind == "a":
+                    link = _HREF.search(page, name.end(), stop - 1)
+                    if link:
+                        links.append(next(x for x in link.groups() if x is not None))
+        out += (page[done:at], break_)
+        done = stop
+        found = _MARKUP.search(page, done)
+    out.append(page[done:])
+    return "".join(out), links
+
+
+def plain_text(shown: str) -> str:
+    """Scanned text, a line for each block: entities resolved, blanks and blank lines folded."""
+    lines = (_BLANKS.sub(" ", line).strip() for line in html.unescape(shown).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def title_of(page: str) -> str | None:
+    """The text of the first title, if it ends."""
+    begin = _TITLE.search(page)
+    begin = page.find(">", begin.end()) + 1 if begin else 0
+    end = _TITLE_END.search(page, begin) if begin else None
+    return _BLANKS.sub(" ", html.unescape(scan(page[begin : end.start()])[0])).strip() if end else None
+
+
+def language_of(page: str) -> str | None:
+    """The lang of the first html tag."""
+    begin = _HTML.search(page)
+    stop = page.find(">", begin.end()) if begin else -1
+    told = _LANG.search(page, begin.end(), stop) if stop >= 0 else None
+    return told[1] if told else None
+
+
 def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+\s*", " ", value)
 
@@ -69,8 +129,10 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records of fetched pages: the key, record_id, target_uri, date, status, http_headers and payload.
 
-    A page without a body (null) has an empty payload, one without a url an empty target. The identifier comes of key
-    and url. Repeated rows give repeated records.
+    A page without a body (null) has an empty payload, one without a url an empty target, one without a key the key null.
+    The identifier comes of key and url. Repeated rows give repeated records. Other columns are left out, whatever their
+    names. An empty table gives an empty result. The table tells neither when nor how a page was fetched: the date is a
+    parameter, status and headers are those of a plain answer.
     """
     ship(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
@@ -102,16 +164,16 @@ def derive(key: object, source: str, uri: str, date: str, http_headers: str, pay
     page = payload.decode(charset(http_headers), "replace")
     http = http_headers.encode() + b"\r\n\r\n" + payload
     common = [("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Refers-To-Block-Digest", digest(http)), ("WARC-Refers-To-Payload-Digest", digest(payload))]
-    title, language = _TITLE.search(page), _LANG.search(page)
+    (shown, links), title, language = scan(page), title_of(page), language_of(page)
     status, *fields = http_headers.split("\r\n")
     told = [("http-status", status), *((f"http-header-{f.split(':', 1)[0].strip().lower()}", f.split(":", 1)[1].strip()) for f in fields if ":" in f)]
-    if title:
-        told.append(("title", _BLANKS.sub(" ", html.unescape(_TAG.sub("", title[1]))).strip()))
+    if title is not None:
+        told.append(("title", title))
     if language:
-        told.append(("languages-html", language[1]))
-    told += [("outlink", f"{html.unescape(next(x for x in m.groups() if x is not None))} L a/@href") for m in _LINK.finditer(_UNSEEN.sub("", page))]
+        told.append(("languages-html", language))
+    told += [("outlink", f"{html.unescape(link)} L a/@href") for link in links]
     out = []
-    for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in told).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
+    for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in told).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(shown).encode())):
         own = record_id(kind, source)
         headers = [("WARC-Type", kind), ("WARC-Record-ID", own), *common, ("Content-Type", content), ("WARC-Block-Digest", digest(block))]
         out.append((kind, own, content, headers, block))
@@ -123,7 +185,9 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
 
     The metadata block lists the source's HTTP status and headers, title, language and links; the conversion block is
     the page's plain text. Null payloads, headers and targets count as empty; responses with equal identifiers (repeated
-    rows) give equal records. No shuffle: records are made where the response is read.
+    rows) give equal records, and a null key stays null. Very long pages are read in one pass. Other columns of records
+    are left out, whatever their names. An empty table gives an empty result. No shuffle: records are made where the
+    response is read.
     """
     ship(records.sparkSession)
     kind = records.schema[key].dataType.simpleString()

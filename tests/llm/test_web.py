@@ -81,4 +81,95 @@ def test_derivatives(spark, tmp_path):
 
 
 def test_plain_text_has_no_markup():
-    assert html.unescape("&nbsp;") == "\xa0" and warc.plain_text("<div>a&nbsp;&nbsp;b</div><b>c</b>d") == "a b\ncd"
+    assert html.unescape("&nbsp;") == "\xa0" and warc.plain_text(warc.scan("<div>a&nbsp;&nbsp;b</div><b>c</b>d")[0]) == "a b\ncd"
+
+
+def slow_text(page):
+    """The same by characters, without positions or patterns: (lines, hrefs)."""
+    blocks = "p div br li ul ol tr td th table h1 h2 h3 h4 h5 h6 nav header footer section article main aside blockquote pre hr body html form dl dt dd".split()
+    out, links, rest = "", [], page
+    while rest:
+        if rest[0] != "<" or len(rest) < 2 or not (rest[1] in "/!?" or "a" <= rest[1].lower() <= "z"):
+            out, rest = out + rest[0], rest[1:]
+            continue
+        if rest[:4] == "<!--" and "-->" in rest[4:]:
+            rest = rest[4:].split("-->", 1)[1]
+            continue
+        if ">" not in rest:
+            out += rest
+            break
+        inside, after = rest[1:].split(">", 1)
+        closing = inside[:1] == "/"
+        name = ""
+        for c in inside[closing:]:
+            if c in "/ \t\n\r\f\v" or (not name and not ("a" <= c.lower() <= "z")):
+                break
+            name += c.lower()
+        if name in blocks:
+            out += "\n"
+        if not closing and name in ("script", "style", "head", "template", "noscript"):
+            for i in range(len(after)):
+                tail = after[i:]
+                if tail.lower().startswith("</" + name) and tail[2 + len(name) :].lstrip(" \t\n\r\f\v").startswith(">"):
+                    after = tail.split(">", 1)[1]
+                    break
+        if not closing and name == "a":
+            low = inside.lower()
+            for i in range(1 + closing, len(inside)):
+                value = low[i + 4 :].lstrip()
+                if low[i : i + 4] == "href" and not (low[i - 1].isalnum() or low[i - 1] == "_") and value.startswith("="):
+                    value = inside[len(inside) - len(value) + 1 :].lstrip()
+                    if value[:1] in ('"', "'") and value:
+                        links.append(value[1:].split(value[0], 1)[0])
+                        break
+                    word = ""
+                    for c in value:
+                        if c.isspace() or c in "\"'":
+                            break
+                        word += c
+                    if word:
+                        links.append(word)
+                        break
+        rest = after
+    lines = (" ".join(x for x in re.split(r"[ \t\r\f\v\xa0]+", line)).strip() for line in html.unescape(out).split("\n"))
+    return [x for x in lines if x], links
+
+
+def test_scanner_by_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["<", ">", "<p>", "</p >", "<P class='x'>", "<a href=", "<a data-x=1 HREF = '", '<a href="/u?a&amp;b">', "<a>", "href=x", "<!--", "-->", "<!doctype html>", "<script>", "</script >", "</SCRIPT>", "<head>", "</head>", "<header>", "<br/>", "<style", "&lt;", " ", "\n", "text", '"', "'", "/", "<b>", "é<2", "<h1>", "<template>", "</template\n>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    for page in pages:
+        shown, links = warc.scan(page)
+        assert (warc.plain_text(shown).split("\n") if warc.plain_text(shown) else [], links) == slow_text(page), page
+    df = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages[:200])], "page_id bigint, url string, html string")
+    made = {(r["page_id"], r["kind"]): next(warc.parse(r["record"]))[1].decode() for r in warc.derivatives(warc.responses(df)).collect()}
+    for i, page in enumerate(pages[:200]):
+        lines, links = slow_text(page)
+        assert made[i, "conversion"] == "\n".join(lines)
+        assert [x for x in made[i, "metadata"].split("\r\n") if x.startswith("outlink: ")] == ["outlink: " + warc.one_line(f"{html.unescape(x)} L a/@href") for x in links]
+
+
+def test_hostile_pages_take_one_pass():
+    import time
+
+    for piece in ("<script>", "<a href", "<!--", "<a href=x>", "<title>", "<html lang", "</script", "<head", "&amp", "<style></style "):
+        page = (piece * (1 + 10_000_000 // len(piece))).encode()
+        began = time.perf_counter()
+        warc.derive(None, "s", "u", "d", "HTTP/1.1 200 OK", page)
+        assert time.perf_counter() - began < 30, piece
+    # twice the page takes about twice the time, not four times
+    for piece in ("<script>", "<a href", "<!--"):
+        times = []
+        for n in (2_000_000, 8_000_000):
+            began = time.perf_counter()
+            warc.scan(piece * (n // len(piece)))
+            times.append(time.perf_counter() - began)
+        assert times[1] < 12 * max(times[0], 0.01)
+
+
+def test_derivatives_of_null_keys_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, "http://a/", "<p>x", "k"), (None, "http://a/", "<p>x", "k")], "page_id bigint, url string, html string, kind string")
+    rows = warc.derivatives(warc.responses(df)).collect()
+    assert len(rows) == 4 and {r["page_id"] for r in rows} == {None} and {r["kind"] for r in rows} == {"metadata", "conversion"}
+    assert len({bytes(r["record"]) for r in rows}) == 2
