@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessella.llm import bytelevel, textnum
-from tessella.llm.cluster import ship
+from tessella.llm.cluster import lean, ship
 
 
 class Merger:
@@ -120,4 +120,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", keep_ids:
     types = dict(zip(docs.columns, (f.dataType.simpleString() for f in docs.schema), strict=True))
     spark_types = {"n_tokens": "bigint", "ids": "array<int>"}
     schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{f.name} {spark_types.get(f.name, 'string')}" for f in new])
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)

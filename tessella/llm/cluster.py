@@ -1,54 +1,17 @@
-"""What the operators need from a cluster: the shared folder, written tables, the package on the workers."""
+"""What the operators need from a cluster beside the core's: joins of hot keys, workers that give memory back."""
 
 from __future__ import annotations
 
 import ctypes
-import io
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from tessella.cluster import shared_folder, ship, written
 
-
-def ship(spark: SparkSession) -> None:
-    """Serve this package to the executors, once an application, so that workers can import it wherever they start."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    at = os.path.join(tempfile.mkdtemp(prefix="tessella-"), "tessella_pkg.zip")
-    Path(at).write_bytes(data.getvalue())
-    spark.sparkContext.addPyFile(at)
-    _shipped.add(app)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage, survives lost executors and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["lean", "partitions", "shared_folder", "ship", "skew_join", "written"]
 
 
 def partitions(spark: SparkSession) -> int:

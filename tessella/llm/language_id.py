@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textnum
-from tessella.llm.cluster import ship
+from tessella.llm.cluster import lean, ship
 from tessella.llm.textnum import U
 
 ORDER = 4
@@ -207,4 +207,4 @@ def identify(docs: DataFrame, models: Models | None, text: str = "text", sharpne
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], [*names, *new])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*names).mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in names] + ["lang_pred string, score double, cross_entropy double, rejected boolean"]))
+    return docs.select(*names).mapInArrow(lean(run), ", ".join([f"`{c}` {types[c]}" for c in names] + ["lang_pred string, score double, cross_entropy double, rejected boolean"]))

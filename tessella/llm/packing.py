@@ -24,7 +24,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.llm import bytelevel, textnum
-from tessella.llm.cluster import ship, written
+from tessella.llm.cluster import lean, ship, written
 
 
 def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +286,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str
             piece, start, size, crc, number = columns
             yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc), pa.array(np.full(len(size), task, np.int64)), pa.array(number)], [key, "piece", "start", "length", "ids_crc32", "_task", "_number"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, _task bigint, _number bigint")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, _task bigint, _number bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -326,6 +326,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in named), pa.array(sequence), pa.array(offset)], [*named, "sequence_id", "offset"])
 
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    shared = cut.where(F.col("length") < capacity).join(ranks, ["_task", "length"]).select(*named, "_before", "_number").mapInArrow(placed, schema)
+    shared = cut.where(F.col("length") < capacity).join(ranks, ["_task", "length"]).select(*named, "_before", "_number").mapInArrow(lean(placed), schema)
     alone = cut.where(F.col("length") == capacity).select(*named, (-1 - F.shiftleft("_task", 32) - F.col("_number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return shared.unionByName(alone)

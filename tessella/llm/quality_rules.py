@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessella.llm import textnum
-from tessella.llm.cluster import ship
+from tessella.llm.cluster import lean, ship
 from tessella.llm.textnum import U
 
 #: For n words: the largest part of a text's word characters that may lie in n-grams found twice or more. Longer
@@ -86,4 +86,4 @@ def repetition_rules(docs: DataFrame, text: str = "text", coverage: dict[int, fl
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(m[c].astype(np.int64)) for c in counted), pa.array(failed), pa.array(kept)], [*names, *counted, "base_failed", "kept"])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*names).mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} bigint" for c in counted] + ["base_failed boolean, kept boolean"]))
+    return docs.select(*names).mapInArrow(lean(run), ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} bigint" for c in counted] + ["base_failed boolean, kept boolean"]))

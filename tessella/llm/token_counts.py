@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from tessella.llm import bytelevel, textnum
 from tessella.llm.bpe import Merger
-from tessella.llm.cluster import ship
+from tessella.llm.cluster import lean, ship
 
 
 @functools.lru_cache(4)
@@ -61,4 +61,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n_bytes), pa.array(counts), pa.array(counts > limit)], [*names, *new])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*names, text).mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in names] + ["n_bytes bigint, n_tokens bigint, over_limit boolean"]))
+    return docs.select(*names, text).mapInArrow(lean(run), ", ".join([f"`{c}` {types[c]}" for c in names] + ["n_bytes bigint, n_tokens bigint, over_limit boolean"]))

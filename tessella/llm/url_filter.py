@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textnum
-from tessella.llm.cluster import ship
+from tessella.llm.cluster import lean, ship
 from tessella.llm.textnum import U
 
 
@@ -125,4 +125,4 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", otherwise:
     clean = lambda c: F.translate(c, "\0", "�")
     canonical = F.concat(F.lit("."), clean("host"), F.lit("\0"), clean("path"))
     found = with_host_and_path(pages, url).withColumn("_canonical", canonical).select(*names, "host", "path", "_canonical")
-    return found.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} string" for c in new]))
+    return found.mapInArrow(lean(run), ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} string" for c in new]))

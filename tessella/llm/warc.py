@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessella.llm import textnum
-from tessella.llm.cluster import ship
+from tessella.llm.cluster import lean, ship
 
 VERSION = "WARC/1.1"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space of URLs
@@ -148,7 +148,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", body: st
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary()), strict=True))], [key, *names])
 
-    return pages.select(key, url, body).mapInArrow(run, f"`{key}` {kind}, record_id string, target_uri string, date string, status int, http_headers string, payload binary")
+    return pages.select(key, url, body).mapInArrow(lean(run), f"`{key}` {kind}, record_id string, target_uri string, date string, status int, http_headers string, payload binary")
 
 
 def charset(http_headers: str) -> str:
@@ -206,7 +206,7 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(np.array(owner))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     chosen = records.select(key, "record_id", "target_uri", "date", "http_headers", "payload")
-    return chosen.mapInArrow(run, f"`{key}` {kind}, kind string, record_id string, refers_to string, target_uri string, source_payload_digest string, block_digest string, block_bytes bigint, record binary")
+    return chosen.mapInArrow(lean(run), f"`{key}` {kind}, kind string, record_id string, refers_to string, target_uri string, source_payload_digest string, block_digest string, block_bytes bigint, record binary")
 
 
 def write_warc(made: DataFrame, folder: str) -> DataFrame:
@@ -234,4 +234,4 @@ def write_warc(made: DataFrame, folder: str) -> DataFrame:
         store.move(own, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return made.select("record").mapInArrow(run, "file string, records bigint")
+    return made.select("record").mapInArrow(lean(run), "file string, records bigint")
