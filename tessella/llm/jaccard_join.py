@@ -8,8 +8,9 @@ tokens of every one of them, and pass the bitmaps, before any set is fetched and
 Documents with equal sets are one node. A token that few nodes have in their prefix pairs them all; of a token of many,
 every node is paired with one of them only, that which lies nearest to what they all share, which suffices where all end
 up in one component. The tokens for which it doesn't are found afterwards; those with the same centre are united, and
-their nodes in different components, as far as their places let them link, compared in blocks. A pair of blocks gives no
-more links than it takes to unite what it links, so no step makes more rows than a group has nodes, times its blocks.
+their nodes in different components, as far as their places let them link, compared in blocks: by bitmaps first, which
+leaves the nodes that may link with any other, and then by whole sets. A pair of blocks gives nodes, and then no more
+links than it takes to unite what it links, so no step makes more rows than a group has nodes, times its blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tessella.llm.components import components
 from tessella.llm.textnum import U
 
 SMALL, BLOCK = 6, 4096
-BLOCK_SHINGLES = 1_000_000
+BITMAP_SHINGLES, SET_SHINGLES = 8_000_000, 1_000_000  # of a block, where bitmaps and where sets are compared
 SHORT = 100  # a prefix of so many tokens is kept by 16 bits of each, a longer one by 32
 BROADCAST_ROWS = 500_000  # ids and numbers of 16 bytes each
 ORDERS = (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93)  # besides the first
@@ -291,6 +292,11 @@ class Joiner:
             heads = [self.heads(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offsets).astype(np.int32)), pa.array(bitmaps(values, offsets), pa.binary()), pa.array(heads, pa.binary())], ["node", "n", "bits", "heads"])
 
+    def bits(self, parts, text: str):
+        """(node, bits) of each set, once a task as far as it remembers."""
+        for ids, values, offsets in self.sets_of(parts, text):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bitmaps(values, offsets), pa.binary())], ["node", "bits"])
+
     def whole_sets(self, parts, text: str):
         """(node, shingles) of each set, once a task as far as it remembers."""
         for ids, values, offsets in self.sets_of(parts, text):
@@ -357,22 +363,47 @@ class Joiner:
         both = overlap(x, y)
         return 100 * both >= self.percent * (len(x) + len(y) - both)
 
-    def across(self, frame):
-        """Links that unite what a pair of blocks links: one for each two components that become one.
+    def passing(self, left: dict, right: dict, same: bool):
+        """Places of the pairs of two blocks, of different components, that sizes, places and bitmaps let link."""
+        step = max(1, 2_000_000 // max(1, len(right["n"])))
+        for begin in range(0, len(left["n"]), step):
+            rows = slice(begin, begin + step)
+            passed = left["root"][rows, None] != right["root"][None, :]
+            passed &= self.in_reach(left["n"][rows, None], left["at"][rows, None], right["n"][None, :], right["at"][None, :])
+            if same:
+                passed &= left["node"][rows, None] < right["node"][None, :]
+            x, y = np.nonzero(passed)
+            x = x + begin
+            good = self.may_link(left["n"][x], right["n"][y], *left["bits"].only(right["bits"], x, y))
+            yield x[good], y[good]
 
-        frame: i, j, block, node, root, at, shingles. Pairs are told apart by sizes, places and bitmaps, then counted.
-        """
+    def near(self, frame):
+        """The nodes of a pair of blocks that may link with any other. frame: centre, i, j, block, node, root, at, n, bits."""
         import pandas as pd
 
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         sides = []
         for block in dict.fromkeys((i, j)):
-            own = frame[frame["block"] == block].sort_values("node")
+            own = frame[frame["block"] == block]
+            sides.append({c: own[c].to_numpy(np.int64) for c in ("node", "root", "at", "n")} | {"bits": Bitmaps(own["bits"].tolist())})
+        left, right, found = sides[0], sides[-1], set()
+        for x, y in self.passing(left, right, i == j):
+            found.update(left["node"][np.unique(x)].tolist())
+            found.update(right["node"][np.unique(y)].tolist())
+        return pd.DataFrame({"centre": np.full(len(found), frame["centre"].iloc[0], np.int64), "node": np.array(sorted(found), np.int64)})
+
+    def across(self, frame):
+        """Links that unite what a pair of blocks links: one for each two components that become one. frame: i, j, block, node, root, at, shingles."""
+        import pandas as pd
+
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        sides = []
+        for block in dict.fromkeys((i, j)):
+            own = frame[frame["block"] == block]
             sets = [np.frombuffer(x, U) for x in own["shingles"]]
             n = np.array([len(x) for x in sets], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            bits = Bitmaps(bitmaps(np.concatenate(sets), offsets)) if len(sets) else Bitmaps([])
-            sides.append((own["node"].to_numpy(), own["root"].to_numpy(), n, own["at"].to_numpy(np.int64), sets, bits))
+            bits = Bitmaps(bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))) if len(sets) else Bitmaps([])
+            sides.append({c: own[c].to_numpy(np.int64) for c in ("node", "root", "at")} | {"n": n, "sets": sets, "bits": bits})
         left, right = sides[0], sides[-1]
         top: dict[int, int] = {}
 
@@ -382,25 +413,31 @@ class Joiner:
             return x
 
         out = []
-        step = max(1, 2_000_000 // max(1, len(right[0])))
-        for begin in range(0, len(left[0]), step):
-            rows = slice(begin, begin + step)
-            passed = left[1][rows, None] != right[1][None, :]
-            passed &= self.in_reach(left[2][rows, None], left[3][rows, None], right[2][None, :], right[3][None, :])
-            if i == j:
-                passed &= left[0][rows, None] < right[0][None, :]
-            x, y = np.nonzero(passed)
-            x = x + begin
-            good = self.may_link(left[2][x], right[2][y], *left[5].only(right[5], x, y))
-            for p, q in zip(x[good].tolist(), y[good].tolist(), strict=True):
-                u, v = find(int(left[1][p])), find(int(right[1][q]))
-                if u != v and self.linked(left[4][p], right[4][q]):
+        for x, y in self.passing(left, right, i == j):
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                u, v = find(int(left["root"][p])), find(int(right["root"][q]))
+                if u != v and self.linked(left["sets"][p], right["sets"][q]):
                     top[max(u, v)] = min(u, v)
-                    out.append((int(left[0][p]), int(right[0][q])))
+                    out.append((int(left["node"][p]), int(right["node"][q])))
         return pd.DataFrame({"a": np.array([min(x) for x in out], np.int64), "b": np.array([max(x) for x in out], np.int64)})
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, frequent: float = 0.0003) -> DataFrame:
+def in_blocks(nodes: DataFrame, shingles: int) -> DataFrame:
+    """nodes (centre, node, n, at, root) of the groups that more than one component has a part in, with each group's number of blocks."""
+    sizes = nodes.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / shingles)).cast("int")
+    sizes = written(sizes.select("centre", "m", blocks.alias("blocks")), "sizes")
+    return written(skew_join(nodes, sizes, ["centre"], "m").select("centre", "node", "n", "at", "root", "blocks"), "compared")
+
+
+def block_pairs(own: DataFrame) -> DataFrame:
+    """A row for each node and each block of its group, with the pair (i, j) of its own block and that one."""
+    own = own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
+    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, frequent: float = 0.0001) -> DataFrame:
     """(key, n_shingles, component_id) for every row of docs: similar texts are linked, component_id is the smallest key reachable.
 
     Texts are linked when 100 * intersection >= percent * union of their sets of distinct k-word shingles, A-Z
@@ -473,15 +510,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
         least = F.greatest("least", F.ceil(F.col("n") * percent / 100))
         some = skew_join(some, sizes, ["centre"], "m").where(F.col("n") - F.col("at") >= F.ceil((F.col("n") + least) * percent / (100 + percent)))
         some = written(some.select("centre", "node", "n", "at", "root"), "open")
-        sizes = some.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-        sizes = written(sizes.select("centre", "m", blocks.alias("blocks")), "sizes")
-        own = written(skew_join(some, sizes, ["centre"], "m").select("centre", "node", "at", "root", "blocks"), "compared")
-        own = own.join(fetched(own.select("node"), join.whole_sets, "node bigint, shingles binary"), "node")
-        own = own.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
-        spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
-        more = spread.groupBy("centre", "i", "j").applyInPandas(lambda frame: join.across(frame), "a bigint, b bigint")
+        own = in_blocks(some, BITMAP_SHINGLES)
+        signed = own.join(fetched(own.select("node"), join.bits, "node bigint, bits binary"), "node")
+        near = block_pairs(signed).groupBy("centre", "i", "j").applyInPandas(lambda frame: join.near(frame), "centre bigint, node bigint").distinct()
+        some = written(own.drop("blocks").join(near, ["centre", "node"], "left_semi"), "near")
+        own = in_blocks(some, SET_SHINGLES).drop("n")
+        whole = own.join(fetched(own.select("node"), join.whole_sets, "node bigint, shingles binary"), "node")
+        more = block_pairs(whole).groupBy("centre", "i", "j").applyInPandas(lambda frame: join.across(frame), "a bigint, b bigint")
         roots = components(links.unionByName(written(more, "across")))
     named = reps.join(roots, "node", "left").select("node", "_rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("_rep").alias("component_id"))
