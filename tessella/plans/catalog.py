@@ -104,11 +104,11 @@ def best_level(spark, sf_dir):
     return grid.best_level(lv, "slide", F.col("target"))
 
 
-@query(f"""with {_GRID}, wins as (select sized.*, x, y from sized, unnest(range(0, rws)) as b(y), unnest(range(0, cols)) as a(x) where level > 0)
+@query(f"""with {_GRID}, wins as (select sized.*, x, y from sized, unnest(range(0, rws)) as b(y), unnest(range(0, cols)) as a(x))
 select slide, level, count(*)::bigint as pairs, count(distinct (nx, ny))::bigint as native_tiles from wins,
   unnest(range(x * stride_px // t, (x * stride_px + window_px - 1) // t + 1)) as c(nx), unnest(range(y * stride_px // t, (y * stride_px + window_px - 1) // t + 1)) as d(ny) group by all""")
 def window_native_overlap(spark, sf_dir):
-    g = grid.cells(_grid(spark, sf_dir).where("level > 0"), window_count("lw", "window_px", "stride_px"), window_count("lh", "window_px", "stride_px"))
+    g = grid.cells(_grid(spark, sf_dir), window_count("lw", "window_px", "stride_px"), window_count("lh", "window_px", "stride_px"))
     g = g.withColumns({"x": F.col("tile_x") * F.col("stride_px"), "y": F.col("tile_y") * F.col("stride_px")})
     met = grid.overlapped(g, "x", "y", F.col("window_px"), F.col("window_px"), "t", "t")
     native = met.groupBy("slide", "level", "native_x", "native_y").agg(F.count(F.lit(1)).alias("n"))  # each native tile once

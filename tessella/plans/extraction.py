@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.cluster import written
 from tessella.functions import geometry, tags
 from tessella.operators import grid, jpeg, raster
 from tessella.options import Options
@@ -38,30 +39,39 @@ def overviews(slides: DataFrame, directory: DataFrame) -> DataFrame:
 
     def stitch(frame: pd.DataFrame) -> pd.DataFrame:
         r = frame.iloc[0]
-        canvas = np.zeros((r.height, r.width), np.uint8)
-        with wsi.open_file(r.path) as f:
-            for t in frame.sort_values("offset").itertuples(index=False):
-                f.seek(t.offset)
-                part = raster.gray(decoded(f.read(t.byte_count), t.tables, t.photometric))
-                y, x = t.tile_y * t.tile_h, t.tile_x * t.tile_w
-                room = canvas[y : y + t.tile_h, x : x + t.tile_w]
-                room[:] = part[: room.shape[0], : room.shape[1]]
-        return pd.DataFrame({"path": [r.path], "ow": [r.width], "oh": [r.height], "overview": [canvas.tobytes()], "threshold": [raster.otsu(np.bincount(canvas.reshape(-1), minlength=256))]})
-
-    return tiles.groupBy("path").applyInPandas(stitch, "path string, ow int, oh int, overview binary, threshold int")
+        out = {"path": [r.path], "ow": [r.width], "oh": [r.height], "overview": [None], "threshold": [None], "error": [None]}
+        try:
+            canvas = np.zeros((r.height, r.width), np.uint8)
+            with wsi.open_file(r.path) as f:
+                for t in frame.sort_values("offset").itertuples(index=False):
+                    f.seek(t.offset)
+                    part = raster.gray(decoded(f.read(t.byte_count), t.tables, t.photometric))
+                    y, x = t.tile_y * t.tile_h, t.tile_x * t.tile_w
+                    room = canvas[y : y + t.tile_h, x : x + t.tile_w]
+                    room[:] = part[: room.shape[0], : room.shape[1]]
+            out |= {"overview": [canvas.tobytes()], "threshold": [raster.otsu(np.bincount(canvas.reshape(-1), minlength=256))]}
+        except Exception as e:  # a slide's failure is data: the others go on
+            out["error"] = [f"{type(e).__name__}: {e}"]
+        return pd.DataFrame(out)
+
+    return tiles.groupBy("path").applyInPandas(stitch, "path string, ow int, oh int, overview binary, threshold int, error string")
 
 
 def extract(paths: DataFrame, options: Options) -> DataFrame:
-    """A row for each tile of the chosen level: slide, level, tile_x, tile_y, origin_x, origin_y, loc_x, loc_y, stage, kept, tissue_fraction, and width, height, jpeg of kept ones.
+    """A row for each tile of the chosen level: slide, level, tile_x, tile_y, origin_x, origin_y, loc_x, loc_y, stage, kept, tissue_fraction, and width, height, jpeg of kept ones; or error.
 
-    stage: 1 where the overview dropped a tile, 2 where its pixels did, null where it was kept. With tile_px the tiles are
+    stage: 1 where the overview dropped a tile, 2 where its pixels did, null where it was kept. A slide's failure never
+    ends the job: a slide that can't be read, that hasn't the level, or that has no microns per pixel where they are
+    needed, is one row of its path's stem and error; a tile that can't be decoded is a row with its place and error.
+    `summary` and `failures` tell them by slide. With tile_px the tiles are
     windows of tile_um microns, stride_um apart, cut across native tiles and resampled to tile_px; tile_x and tile_y are
     their column and row, and windows that would leave the level, or that have no microns per pixel, are none.
     """
     windowed = options.tile_px is not None
-    images = wsi.ifds(paths)
+    images = written(wsi.ifds(paths), "images")  # tags are parsed once
     slides, directory = wsi.slides(images), wsi.tile_directory(images)
     lv = levels(slides).withColumn("level_mpp", F.col("microns_per_pixel") * F.col("downsample"))
+    failed = _failed(slides, options)
     if options.level is not None:
         lv = lv.where(F.col("level") == options.level)
     else:
@@ -78,12 +88,14 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
         tiles = tiles.withColumn(f"loc_{a}", F.col(f"origin_{a}") + geometry.int_div(geometry.base_pixels(side, "downsample"), 2))
     least = options.min_tissue_fraction
     if least is not None:
-        shown = overviews(slides, directory)
+        shown = written(overviews(slides, directory), "overviews")
+        failed = failed.unionByName(shown.where("error is not null").join(slides.select("path", "slide"), "path").select("slide", "error"))
+        shown = shown.where("error is null")
         tiles = _first_stage(tiles, shown, least).join(shown.select("path", "threshold"), "path")
     else:
         tiles = tiles.withColumns({"first": F.lit(True), "threshold": F.lit(0), "overview_fraction": F.lit(None).cast("float")})
     target, quality, factors = options.stain_target, options.jpeg_quality, tags.CHROMA[options.chroma_subsampling.strip()]
-    out = "slide string, level int, tile_x bigint, tile_y bigint, origin_x bigint, origin_y bigint, loc_x bigint, loc_y bigint, stage int, kept boolean, tissue_fraction float, width int, height int, jpeg binary"
+    out = "slide string, level int, tile_x bigint, tile_y bigint, origin_x bigint, origin_y bigint, loc_x bigint, loc_y bigint, stage int, kept boolean, tissue_fraction float, width int, height int, jpeg binary, error string"
 
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "float": pa.float32(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in out.split(", ")])
@@ -93,17 +105,21 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
         for part in (p.slice(i, 64) for p in parts for i in range(0, p.num_rows, 64)):  # few tiles at once
             rows = []
             for t in (SimpleNamespace(**r) for r in part.to_pylist()):
-                pixels = stitch(t) if windowed else stitch.stored(t)
-                fraction = raster.tissue(pixels[: t.valid_h, : t.valid_w], t.threshold) if least is not None else None
                 common = (t.slide, t.level, t.tile_x, t.tile_y, t.origin_x, t.origin_y, t.loc_x, t.loc_y)
+                try:
+                    pixels = stitch(t) if windowed else stitch.stored(t)
+                except Exception as e:  # a tile's failure is data: the others go on
+                    rows.append((*common, None, False, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                fraction = raster.tissue(pixels[: t.valid_h, : t.valid_w], t.threshold) if least is not None else None
                 if least is not None and not fraction >= np.float32(least):
-                    rows.append((*common, 2, False, fraction, None, None, None))
+                    rows.append((*common, 2, False, fraction, None, None, None, None))
                     continue
                 if target is not None:
                     pixels = raster.normalize(pixels, target)
                 if (t.out_w, t.out_h) != (t.w, t.h):
                     pixels = raster.resize(pixels, t.out_w, t.out_h)
-                rows.append((*common, None, True, fraction, pixels.shape[1], pixels.shape[0], jpeg.encode(pixels, quality, factors)))
+                rows.append((*common, None, True, fraction, pixels.shape[1], pixels.shape[0], jpeg.encode(pixels, quality, factors), None))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
         stitch.close()
 
@@ -113,9 +129,20 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
     else:
         read = tiles.where("first").repartition("path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
     kept = read.mapInArrow(process, out)
-    none = {"stage": F.lit(1), "kept": F.lit(False), "tissue_fraction": F.col("overview_fraction"), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "jpeg": F.lit(None).cast("binary")}
+    none = {"stage": F.lit(1), "kept": F.lit(False), "tissue_fraction": F.col("overview_fraction"), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "jpeg": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")}
     dropped = tiles.where("not first").drop("width", "height").withColumns(none).select(*kept.columns)
-    return kept.unionByName(dropped)
+    none = [F.lit(False).alias(c) if c == "kept" else F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns if c not in ("slide", "error")]
+    return kept.unionByName(dropped).unionByName(failed.select("slide", "error", *none).select(*kept.columns))
+
+
+def _failed(slides: DataFrame, options: Options) -> DataFrame:
+    """(slide, error) of slides that can't be read or don't have what the options ask for."""
+    wrong = F.col("error")
+    if options.level is not None:
+        wrong = F.coalesce(wrong, F.when(F.size("levels") <= options.level, F.concat(F.lit(f"OutOfBounds: level {options.level} of "), F.size("levels"))))
+    if options.target_mpp is not None or options.tile_um is not None:
+        wrong = F.coalesce(wrong, F.when(F.col("microns_per_pixel").isNull(), F.lit("InvalidMetadata: no microns per pixel")))
+    return slides.select("slide", wrong.alias("error")).where("error is not null")
 
 
 def _windows_of(level: DataFrame, options: Options) -> DataFrame:
@@ -154,4 +181,16 @@ def summary(events: DataFrame) -> DataFrame:
     """total, kept and dropped for each slide and, with a null slide, for all."""
     from tessella.operators import reports
 
-    return reports.rollup(events, "slide")
+    return reports.rollup(events.where("tile_x is not null and error is null"), "slide")
+
+
+def failures(events: DataFrame) -> DataFrame:
+    """(slide, error, n): each slide's different errors, and how many rows have them."""
+    return events.where("error is not null").groupBy("slide", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dataset_summary(events: DataFrame) -> DataFrame:
+    """One row for the whole data set: total_slides, succeeded, failed, total, kept, dropped. A slide with any error has failed."""
+    by = events.groupBy("slide").agg(F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(F.expr("tile_x is not null and error is null")).alias("total"), F.count_if(F.col("kept")).alias("kept"))
+    n = lambda c, name: F.coalesce(c, F.lit(0)).cast("bigint").alias(name)
+    return by.agg(F.count(F.lit(1)).alias("total_slides"), F.count_if(F.col("errors") == 0).alias("succeeded"), F.count_if(F.col("errors") > 0).alias("failed"), n(F.sum("total"), "total"), n(F.sum("kept"), "kept"), n(F.sum(F.col("total") - F.col("kept")), "dropped"))

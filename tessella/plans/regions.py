@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.cluster import written
 from tessella.functions.geometry import tiles_across
 from tessella.operators import grid, jpeg
 from tessella.sources import wsi
@@ -95,7 +96,7 @@ def read_regions(paths: DataFrame, regions: DataFrame) -> DataFrame:
     """
     from tessella.plans import extraction
 
-    images = wsi.ifds(paths)
+    images = written(wsi.ifds(paths), "images")
     keys = ["path", "level", "x", "y", "w", "h"]
     asked = regions.select("path", F.col("level").cast("int").alias("level"), *(F.col(c).cast("bigint").alias(c) for c in keys[2:])).distinct()
     lv = extraction.levels(wsi.slides(images)).select("path", "level", "width", "height", "tile_w", "tile_h", "photometric", "tables", "ifd")

@@ -20,7 +20,7 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("slide"),
         (F.lit(1000) + s * 173 + k % 97).alias("w"),
         (F.lit(800) + s * 131 + k % 89).alias("h"),
-        F.when(k % 3 == 0, 1024).otherwise(960).cast("bigint").alias("t"),
+        F.when(k % 3 == 0, 256).otherwise(240).cast("bigint").alias("t"),
         mpp.alias("mpp"),
     )
 
@@ -77,7 +77,7 @@ def tile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V_SLIDES = """v_slides as (select p_partkey as slide, 1000 + p_size::bigint * 173 + p_partkey % 97 as w, 800 + p_size::bigint * 131 + p_partkey % 89 as h,
-  (case when p_partkey % 3 = 0 then 1024 else 960 end)::bigint as t,
+  (case when p_partkey % 3 = 0 then 256 else 240 end)::bigint as t,
   case when p_partkey % 11 = 0 then null else cast(250 + (p_partkey % 4) * 83 as double) / cast(1000 as double) end as mpp from part)"""
 V_LEVELS = V_SLIDES + """, v_levels as (select slide, w, h, t, mpp, level, w // d as lw, h // d as lh, cast(w as double) / cast(w // d as double) as ds
   from v_slides, (values (0, 1), (1, 4), (2, 16)) as x(level, d))"""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tessella.cluster import ship
 from tessella.sinks import tfrecord
 
 
@@ -26,6 +27,7 @@ def _put(store, path: str, data: bytes, attempt: str) -> None:
 
 def write_jpegs(tiles: DataFrame, folder: str) -> DataFrame:
     """Writes slide, tile_x, tile_y, jpeg; gives (slide, files)."""
+    ship(tiles.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -41,6 +43,7 @@ def write_jpegs(tiles: DataFrame, folder: str) -> DataFrame:
 
 def write_tfrecords(tiles: DataFrame, folder: str) -> DataFrame:
     """Writes slide, tile_x, tile_y, jpeg, loc_x, loc_y, a file a slide in order of rows and columns, streamed; gives (slide, records)."""
+    ship(tiles.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.cluster import ship
 from tessella.errors import InvalidMetadata, UnsupportedFormat
 from tessella.functions import tags
 from tessella.sources import tiff
@@ -59,7 +60,7 @@ def images(path: str) -> list[dict]:
 
 def ifds(paths: DataFrame) -> DataFrame:
     """A row for each image of each slide; a slide that can't be read has one row with its error instead."""
-
+    ship(paths.sparkSession)
     kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     schema = pa.schema([("path", pa.string()), ("error", pa.string()), *((c.split()[0], kinds[c.split()[1]]) for c in IFD.split(", "))])
 

@@ -150,11 +150,13 @@ def test_extraction(spark, tmp_path):
     assert found["corrupt"]["error"] and not found["a"]["error"]
     assert found["a"]["microns_per_pixel"] == 0.5 and found["a"]["objective_power"] == 20 and [x["downsample"] for x in found["a"]["levels"]] == [1.0, 4.0]
     every = extraction.extract(paths, Options(level=0)).collect()
+    bad, every = [r for r in every if r["error"]], [r for r in every if not r["error"]]
+    assert [(r["slide"], r["tile_x"], r["kept"]) for r in bad] == [("corrupt", None, False)] and "UnsupportedFormat" in bad[0]["error"]
     assert len(every) == 2 * 6 and all(r["kept"] and r["width"] == 32 for r in every)
     first = next(r for r in every if (r["slide"], r["tile_x"], r["tile_y"]) == ("a", 0, 0))
     assert np.abs(jpeg.decode(bytes(first["jpeg"]), True).astype(int) - 40).max() < 8 and (first["loc_x"], first["loc_y"]) == (16, 16)
     events = extraction.extract(paths, Options(target_mpp=1.0, min_tissue_fraction=0.5))
-    rows = {(r["slide"], r["tile_x"], r["tile_y"]): r for r in events.collect()}
+    rows = {(r["slide"], r["tile_x"], r["tile_y"]): r for r in events.collect() if not r["error"]}
     assert {k for k, r in rows.items() if r["kept"]} == {(s, 0, y) for s in "ab" for y in (0, 1)}
     assert {r["stage"] for r in rows.values() if not r["kept"]} == {1} and rows["a", 0, 0]["width"] == 16
     total = {r["slide"]: (r["total"], r["kept"], r["dropped"]) for r in extraction.summary(events).collect()}
@@ -184,11 +186,11 @@ def test_regions_and_windows(spark, tmp_path):
         assert not w or np.abs(px.astype(int) - want).max() < 8
 
     def windows(**more):
-        return {(r["tile_x"], r["tile_y"]): r for r in extraction.extract(paths, Options(level=0, jpeg_quality=95, **more)).collect()}
+        return {(r["tile_x"], r["tile_y"]): r for r in extraction.extract(paths, Options(level=0, jpeg_quality=95, **more)).where("error is null").collect()}
 
     same = windows(tile_px=32, tile_um=16.0)
     assert set(same) == {(0, 0), (1, 0)}  # whole windows only
-    every = extraction.extract(paths, Options(level=0, jpeg_quality=95)).collect()
+    every = extraction.extract(paths, Options(level=0, jpeg_quality=95)).where("error is null").collect()
     for r in every:
         if (r["tile_x"], r["tile_y"]) in same:
             assert {k: r[k] for k in r.asDict()} == same[r["tile_x"], r["tile_y"]].asDict()
@@ -207,3 +209,47 @@ def test_bad_slides_are_rows(spark, tmp_path, name):
     image |= {"description": {"description": None}, "tables": {"tables": None}, "counts": {"counts": [4, 4]}}[name]
     tiff.write(str(tmp_path / "x.svs"), [image])
     assert wsi.ifds(wsi.from_paths(spark, [str(tmp_path / "x.svs")])).first()["error"]
+
+
+def test_a_failure_ends_no_other_slide(spark, tmp_path):
+    slide(tmp_path / "a.svs")
+    slide(tmp_path / "b.svs")
+    slide(tmp_path / "nompp.svs", mpp=None)
+    (tmp_path / "corrupt.svs").write_bytes(b"not a real tiff")
+    data = bytearray((tmp_path / "b.svs").read_bytes())
+    begin = next(r["offset"] for r in wsi.tile_directory(wsi.ifds(wsi.from_paths(spark, [str(tmp_path / "b.svs")]))).collect() if r["ifd"] == 0 and r["tile_index"] == 4)
+    data[begin : begin + 2] = b"xx"  # one tile of b
+    data[begin + 2 : begin + 12] = b"\xff\xd9" * 5
+    (tmp_path / "b.svs").write_bytes(data)
+    paths = wsi.from_dir(spark, str(tmp_path))
+    events = extraction.extract(paths, Options(level=0))
+    assert {(r["slide"], r["n"]) for r in extraction.failures(events).collect()} == {("b", 1), ("corrupt", 1)}
+    assert sum(r["kept"] for r in events.collect()) == 17
+    assert extraction.dataset_summary(events).first().asDict() == {"total_slides": 4, "succeeded": 2, "failed": 2, "total": 17, "kept": 17, "dropped": 0}
+    got = {r["slide"]: r["error"] for r in extraction.failures(extraction.extract(paths, Options(level=1, min_tissue_fraction=0.1))).collect()}
+    assert set(got) == {"corrupt"}
+    got = {r["slide"]: r["error"] for r in extraction.failures(extraction.extract(paths, Options(level=9))).collect()}
+    assert got.keys() == {"a", "b", "nompp", "corrupt"} and got["a"] == "OutOfBounds: level 9 of 2"
+    got = {r["slide"]: r["error"] for r in extraction.failures(extraction.extract(paths, Options(target_mpp=1.0))).collect()}
+    assert got["nompp"].startswith("InvalidMetadata") and "a" not in got
+
+
+def test_extraction_started_elsewhere(tmp_path):
+    """Workers find the package though neither their folder nor PYTHONPATH has it."""
+    import os
+    import subprocess
+
+    slide(tmp_path / "a.svs")
+    code = f"""
+import sys
+sys.path.append({str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from tessella.options import Options
+from tessella.plans import extraction
+from tessella.sources import wsi
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", extraction.extract(wsi.from_dir(spark, {str(tmp_path)!r}), Options(level=0)).where("kept").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 6" in done.stdout, done.stderr[-2000:]
