@@ -132,6 +132,19 @@ def _sized(table: dict, run: int, value: int) -> tuple[int, int]:
     return length + bits, code << bits | (value if value >= 0 else value + (1 << bits) - 1)
 
 
+def split_tables(data: bytes) -> tuple[bytes, bytes]:
+    """A stream's quantisation and Huffman tables as a stream of their own, and the abbreviated rest."""
+    tables, rest, at = b"\xff\xd8", b"\xff\xd8", 2
+    while data[at + 1] != 0xDA:
+        stop = at + 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if data[at + 1] in (0xDB, 0xC4):
+            tables += data[at:stop]
+        else:
+            rest += data[at:stop]
+        at = stop
+    return tables + b"\xff\xd9", rest + data[at:]
+
+
 def join_tables(tables: bytes, tile: bytes) -> bytes:
     """A whole stream from a level's tables and a tile's abbreviated one."""
     if len(tables) < 2 or tables[-2:] != b"\xff\xd9":

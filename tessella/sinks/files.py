@@ -11,13 +11,13 @@ from tessella.cluster import ship
 from tessella.sinks import tfrecord
 
 
-def _store(folder: str):
+def store_of(folder: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(folder)
 
 
-def _put(store, path: str, data: bytes, attempt: str) -> None:
+def put(store, path: str, data: bytes, attempt: str) -> None:
     """Whole files only: written under the task's own name and moved."""
     store.create_dir(path.rpartition("/")[0])
     with store.open_output_stream(f"{path}.{attempt}") as out:
@@ -32,10 +32,10 @@ def write_jpegs(tiles: DataFrame, folder: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        store, root = _store(folder)
+        store, root = store_of(folder)
         for frame in frames:
             for r in frame.itertuples(index=False):
-                _put(store, f"{root}/{r.slide}/{r.tile_x}_{r.tile_y}.jpg", bytes(r.jpeg), str(TaskContext.get().taskAttemptId()))
+                put(store, f"{root}/{r.slide}/{r.tile_x}_{r.tile_y}.jpg", bytes(r.jpeg), str(TaskContext.get().taskAttemptId()))
             yield frame.groupby("slide").size().rename("files").reset_index()
 
     return tiles.select("slide", "tile_x", "tile_y", "jpeg").mapInPandas(run, "slide string, files bigint").groupBy("slide").sum("files").withColumnRenamed("sum(files)", "files")
@@ -48,7 +48,7 @@ def write_tfrecords(tiles: DataFrame, folder: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        (store, root), slide, out, n = _store(folder), None, None, 0
+        (store, root), slide, out, n = store_of(folder), None, None, 0
         name = lambda: f"{root}/{slide}/{slide}.tfrecord"
         attempt = str(TaskContext.get().taskAttemptId())
 

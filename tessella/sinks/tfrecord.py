@@ -68,5 +68,47 @@ def example(features: dict[str, bytes | int]) -> bytes:
     return field(1, body)
 
 
+def fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
+    """(number, value) of each field of a message: bytes, or a number."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        elif tag & 7 == 2:
+            size = number()
+            yield tag >> 3, data[at : at + size]
+            at += size
+        else:
+            raise ValueError(f"a field of wire type {tag & 7}")
+
+
+def parse(data: bytes) -> dict[str, bytes | int]:
+    """An example's features by name: the first of a list of bytes, or of 64-bit integers."""
+    out: dict[str, bytes | int] = {}
+    for _, features in fields(data):
+        for _, entry in fields(features):
+            pair = dict(fields(entry))
+            for kind, values in fields(pair[2]):
+                first = next(fields(values))[1]
+                if kind == 3:  # integers, packed
+                    first = first if isinstance(first, int) else next(fields(b"\x08" + first))[1]
+                    first -= (first >> 63) << 64
+                out[pair[1].decode()] = first
+    return out
+
+
 def tile_example(slide: str, jpeg: bytes, loc_x: int, loc_y: int) -> bytes:
     return example({"slide": slide.encode(), "image_raw": jpeg, "loc_x": loc_x, "loc_y": loc_y})

@@ -61,6 +61,11 @@ def _value(f: BinaryIO, order: str, big: bool, kind: int, count: int, raw: bytes
 
 
 def write(path: str, images: list[dict]) -> None:
+    with open(path, "wb") as f:
+        f.write(dumps(images))
+
+
+def dumps(images: list[dict]) -> bytes:
     """A classic little-endian file. An image: width, height, description, tile (w, h) or None, tiles (bytes each), tables, photometric."""
     body, at = bytearray(b"II*\0\0\0\0\0"), []
     for image in images:
@@ -96,5 +101,4 @@ def write(path: str, images: list[dict]) -> None:
     struct.pack_into("<I", body, 4, at[0][0])
     for (place, n), (following, _) in zip(at, at[1:], strict=False):
         struct.pack_into("<I", body, place + 2 + 12 * n, following)
-    with open(path, "wb") as f:
-        f.write(body)
+    return bytes(body)

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tessella.functions import geometry, tags
 from tessella.operators import grid, jpeg, raster, reports, tissue
 from tessella.options import Options
-from tessella.plans import catalog, extraction, regions
+from tessella.plans import catalog, extraction, regions, volume  # noqa: F401
 from tessella.sinks import files, tfrecord
 from tessella.sources import tiff, wsi
 
