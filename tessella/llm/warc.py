@@ -18,13 +18,13 @@ from tessella.llm.cluster import lean, ship
 
 VERSION = "WARC/1.1"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space of URLs
-_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
-_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARKUP = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)[^>]*>|[/!?][^>]*>)")
 _HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "head", "template", "noscript")}
 _BREAKS = frozenset("p div br li ul ol tr td th table h1 h2 h3 h4 h5 h6 nav header footer section article main aside blockquote pre hr body html form dl dt dd".split())
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"']+))""", re.I)
 _LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.I)
-_TITLE, _TITLE_END, _HTML = (re.compile(x, re.I) for x in (r"<title(?=[\s/>])", r"</title\s*>", r"<html(?=[\s/>])"))
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_SPECIAL = frozenset(["a", "title", "html", *_HIDDEN])
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -37,48 +37,54 @@ def record_id(*names: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(10).join(names))}>"
 
 
-def scan(page: str) -> tuple[str, list[str]]:
-    """A page's visible text with \n where blocks begin and end, and the values of its links' href, as written.
+class Scan:
+    """A page's visible text (`shown`, with \n where blocks begin and end), its links' href as written, its title and language.
 
     One pass, whatever the page: a comment goes to its -->, a hidden element to its end tag, any other tag to the next >.
-    What has no end is looked for once: a comment or hidden element without one is an ordinary tag, and from a tag without
-    one on all is text. Linear in the page's length.
+    What has no end is looked for once: a comment or hidden element without one is an ordinary tag, and after the last >
+    all is text. Linear in the page's length. title: of the first title tag, if it ends; language: lang of the first html tag.
     """
-    out, links, done = [], [], 0
-    endless: set[str] = set()
-    found = _MARKUP.search(page)
-    while found:
-        at = found.start()
-        stop = None
-        if page.startswith("<!--", at) and "--" not in endless:
-            stop = page.find("-->", at + 4) + 3
-            if stop < 3:
-                endless.add("--")
-                stop = None
-        break_ = ""
-        if stop is None:
-            stop = page.find(">", at) + 1
-            if not stop:
-                break
-            name = _NAME.match(page, at)
-            if name:
-                kind = name[2].lower()
-                break_ = "\n" if kind in _BREAKS else ""
-                if not name[1] and kind in _HIDDEN and kind not in endless:
+
+    def __init__(self, page: str):
+        self.links: list[str] = []
+        self.title = self.language = None
+        out: list[str] = []
+        done, last, met, endless = 0, page.rfind(">") + 1, set(), set()
+        for tag in _MARKUP.finditer(page, 0, last):  # up to last every tag ends; none reaches over the end of what is skipped
+            at, name, stop = tag.start(), tag[3], tag.end()
+            kind = name.lower() if name else ""
+            if kind in _SPECIAL and not tag[2]:
+                if kind == "title" and kind not in met:
+                    end = _TITLE_END.search(page, stop)
+                    if end:
+                        self.title = _BLANKS.sub(" ", html.unescape(Scan(page[stop : end.start()]).shown)).strip()
+                elif kind == "html" and kind not in met:
+                    told = _LANG.search(page, tag.end(3), stop - 1)
+                    self.language = told[1] if told else None
+                elif at >= done and kind == "a":
+                    link = _HREF.search(page, tag.end(3), stop - 1)
+                    if link:
+                        self.links.append(next(x for x in link.groups() if x is not None))
+                elif at >= done and kind in _HIDDEN and kind not in endless:
                     end = _HIDDEN[kind].search(page, stop)
                     if end:
                         stop = end.end()
                     else:
                         endless.add(kind)
-                elif not name[1] and kind == "a":
-                    link = _HREF.search(page, name.end(), stop - 1)
-                    if link:
-                        links.append(next(x for x in link.groups() if x is not None))
-        out += (page[done:at], break_)
-        done = stop
-        found = _MARKUP.search(page, done)
-    out.append(page[done:])
-    return "".join(out), links
+                met.add(kind)
+            if at < done:
+                continue
+            if tag[1]:
+                stop = page.find("-->", at + 4) + 3 if "--" not in endless else 2
+                if stop < 3:
+                    endless.add("--")
+                    stop = page.find(">", at) + 1
+            out.append(page[done:at])
+            if kind in _BREAKS:
+                out.append("\n")
+            done = stop
+        out.append(page[done:])
+        self.shown = "".join(out)
 
 
 def plain_text(shown: str) -> str:
@@ -87,22 +93,6 @@ def plain_text(shown: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def title_of(page: str) -> str | None:
-    """The text of the first title, if it ends."""
-    begin = _TITLE.search(page)
-    begin = page.find(">", begin.end()) + 1 if begin else 0
-    end = _TITLE_END.search(page, begin) if begin else None
-    return _BLANKS.sub(" ", html.unescape(scan(page[begin : end.start()])[0])).strip() if end else None
-
-
-def language_of(page: str) -> str | None:
-    """The lang of the first html tag."""
-    begin = _HTML.search(page)
-    stop = page.find(">", begin.end()) if begin else -1
-    told = _LANG.search(page, begin.end(), stop) if stop >= 0 else None
-    return told[1] if told else None
-
-
 def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+\s*", " ", value)
 
@@ -164,16 +154,16 @@ def derive(key: object, source: str, uri: str, date: str, http_headers: str, pay
     page = payload.decode(charset(http_headers), "replace")
     http = http_headers.encode() + b"\r\n\r\n" + payload
     common = [("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Refers-To-Block-Digest", digest(http)), ("WARC-Refers-To-Payload-Digest", digest(payload))]
-    (shown, links), title, language = scan(page), title_of(page), language_of(page)
+    seen = Scan(page)
     status, *fields = http_headers.split("\r\n")
     told = [("http-status", status), *((f"http-header-{f.split(':', 1)[0].strip().lower()}", f.split(":", 1)[1].strip()) for f in fields if ":" in f)]
-    if title is not None:
-        told.append(("title", title))
-    if language:
-        told.append(("languages-html", language))
-    told += [("outlink", f"{html.unescape(link)} L a/@href") for link in links]
+    if seen.title is not None:
+        told.append(("title", seen.title))
+    if seen.language:
+        told.append(("languages-html", seen.language))
+    told += [("outlink", f"{html.unescape(link)} L a/@href") for link in seen.links]
     out = []
-    for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in told).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(shown).encode())):
+    for kind, content, block in (("metadata", "application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in told).encode()), ("conversion", "text/plain; charset=utf-8", plain_text(seen.shown).encode())):
         own = record_id(kind, source)
         headers = [("WARC-Type", kind), ("WARC-Record-ID", own), *common, ("Content-Type", content), ("WARC-Block-Digest", digest(block))]
         out.append((kind, own, content, headers, block))

@@ -81,7 +81,7 @@ def test_derivatives(spark, tmp_path):
 
 
 def test_plain_text_has_no_markup():
-    assert html.unescape("&nbsp;") == "\xa0" and warc.plain_text(warc.scan("<div>a&nbsp;&nbsp;b</div><b>c</b>d")[0]) == "a b\ncd"
+    assert html.unescape("&nbsp;") == "\xa0" and warc.plain_text(warc.Scan("<div>a&nbsp;&nbsp;b</div><b>c</b>d").shown) == "a b\ncd"
 
 
 def slow_text(page):
@@ -140,8 +140,8 @@ def test_scanner_by_brute_force(spark):
     parts = ["<", ">", "<p>", "</p >", "<P class='x'>", "<a href=", "<a data-x=1 HREF = '", '<a href="/u?a&amp;b">', "<a>", "href=x", "<!--", "-->", "<!doctype html>", "<script>", "</script >", "</SCRIPT>", "<head>", "</head>", "<header>", "<br/>", "<style", "&lt;", " ", "\n", "text", '"', "'", "/", "<b>", "é<2", "<h1>", "<template>", "</template\n>"]
     pages = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     for page in pages:
-        shown, links = warc.scan(page)
-        assert (warc.plain_text(shown).split("\n") if warc.plain_text(shown) else [], links) == slow_text(page), page
+        seen = warc.Scan(page)
+        assert (warc.plain_text(seen.shown).split("\n") if warc.plain_text(seen.shown) else [], seen.links) == slow_text(page), page
     df = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages[:200])], "page_id bigint, url string, html string")
     made = {(r["page_id"], r["kind"]): next(warc.parse(r["record"]))[1].decode() for r in warc.derivatives(warc.responses(df)).collect()}
     for i, page in enumerate(pages[:200]):
@@ -163,7 +163,7 @@ def test_hostile_pages_take_one_pass():
         times = []
         for n in (2_000_000, 8_000_000):
             began = time.perf_counter()
-            warc.scan(piece * (n // len(piece)))
+            warc.Scan(piece * (n // len(piece)))
             times.append(time.perf_counter() - began)
         assert times[1] < 12 * max(times[0], 0.01)
 
