@@ -253,3 +253,15 @@ print("rows", extraction.extract(wsi.from_dir(spark, {str(tmp_path)!r}), Options
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=240)
     assert "rows 6" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_watched_folder(spark, tmp_path):
+    from tessella.streaming import extract_new
+
+    (tmp_path / "in").mkdir()
+    at = [(tmp_path / x).as_uri() for x in ("in", "out", "state")]
+    for name in ("a", "b"):
+        slide(tmp_path / f"in/{name}.svs")
+        extract_new(spark, at[0], Options(level=0), *at[1:]).awaitTermination(120)
+    rows = spark.read.parquet(at[1]).where("kept").groupBy("batch", "slide").count().collect()
+    assert sorted(map(tuple, rows)) == [(0, "a", 6), (1, "b", 6)]
