@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,14 +27,29 @@ _K = np.arange(8)
 DCT = np.where(_K[:, None] == 0, np.sqrt(1 / 8), np.sqrt(2 / 8) * np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16))
 
 
-def flat_code(symbols: list[int]) -> tuple[bytes, bytes]:
-    """A code whose words all have 8 bits, but one of 9 at most two symbols share: any table is valid in a file."""
-    n = len(symbols)
-    short = 255 if n > 255 else n
-    return bytes([0] * 7 + [short if n <= 255 else 254] + [n - 254 if n > 255 else 0] + [0] * 7), bytes(symbols)
+def code_of(weights: dict[int, float]) -> tuple[bytes, bytes]:
+    """A Huffman code of at most 16 bits a word (counts by length, symbols), whose word of ones alone stays unused."""
+    while True:
+        heap = [(w, i, (x,)) for i, (x, w) in enumerate(sorted(weights.items()))] + [(0, -1, (-1,))]
+        heapq.heapify(heap)
+        length = dict.fromkeys([*weights, -1], 0)
+        while len(heap) > 1:
+            (v, i, x), (w, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            for symbol in x + y:
+                length[symbol] += 1
+            heapq.heappush(heap, (v + w, i + len(length), x + y))
+        if max(length.values()) <= 16:
+            break
+        weights = {x: w**0.9 for x, w in weights.items()}  # flatter, until no word is too long
+    deepest = max(length.values())
+    order = sorted(weights, key=lambda x: (length[x], x))
+    counts = [sum(length[x] == n for x in order) for n in range(1, 17)]
+    assert length[-1] == deepest  # the least weight has one of the longest words, canonically the last
+    return bytes(counts), bytes(order)
 
 
-AC = flat_code([0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))])
+#: A code for AC symbols of any image: weights fall with the run of zeros and with the size of what ends it.
+AC = code_of({0x00: 0.25, 0xF0: 0.002, **{run << 4 | size: 0.6 ** (run + 2.0 * (size - 1)) / 4 for run in range(16) for size in range(1, 11)}})
 
 
 def words(counts: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
@@ -64,8 +81,11 @@ def to_rgb(x: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
 
-def encode(pixels: np.ndarray, quality: int = 75, factors: tuple[int, int] = (2, 2), colour: bool = True) -> bytes:
-    """h x w (gray) or h x w x 3; factors: horizontal and vertical chroma subsampling; colour False: components as they are, factors (1, 1)."""
+def encode(pixels: np.ndarray, quality: int = 75, factors: tuple[int, int] = (2, 2), colour: bool = True, own_code: bool = False) -> bytes:
+    """h x w (gray) or h x w x 3; factors: horizontal and vertical chroma subsampling; colour False: components as they are, factors (1, 1).
+
+    own_code: Huffman codes made for this image, smaller; else those of all images, so that tiles can share a level's tables.
+    """
     if pixels.shape[0] > 65535 or pixels.shape[1] > 65535 or not pixels.size:
         raise UnsupportedFormat(f"an image of {pixels.shape} can't be a JPEG")
     gray = pixels.ndim == 2 or pixels.shape[2] == 1
@@ -85,51 +105,68 @@ def encode(pixels: np.ndarray, quality: int = 75, factors: tuple[int, int] = (2,
         b = p.reshape(rows, own[1], 8, cols, own[0], 8).transpose(0, 3, 1, 4, 2, 5) - 128
         c = np.rint(DCT @ b @ DCT.T / q).astype(np.int64).reshape(rows * cols, own[0] * own[1], 64)[..., ZIGZAG]
         blocks.append(c)
-    dc, ac = words(DC_COUNTS, DC_SYMBOLS), words(*AC)
-    acc, size, out, before = 0, 0, bytearray(), [0] * n
-    for m in range(rows * cols):
-        for i in range(n):
-            for block in blocks[i][m].tolist():
-                put = [_sized(dc, 0, block[0] - before[i])]
-                before[i] = block[0]
-                run = 0
-                last = max((k for k in range(1, 64) if block[k]), default=0)
-                for k in range(1, last + 1):
-                    if block[k]:
-                        while run > 15:
-                            put.append(ac[0xF0])
-                            run -= 16
-                        put.append(_sized(ac, run, block[k]))
-                        run = 0
-                    else:
-                        run += 1
-                if last < 63:
-                    put.append(ac[0])
-                for length, code in put:
-                    acc, size = acc << length | code, size + length
-        while size >= 8:
-            size -= 8
-            byte = acc >> size & 255
-            out.append(byte)
-            if byte == 255:
-                out.append(0)
-        acc &= (1 << size) - 1
-    if size:
-        byte = (acc << 8 - size | (1 << 8 - size) - 1) & 255
-        out += bytes([byte, 0]) if byte == 255 else bytes([byte])
+    tokens = _tokens(blocks)
+    kinds = [0, *[int(colour)] * (n - 1)]  # which tables each component takes
+    codes = {}
+    for kind in sorted(set(kinds)):
+        for ac in (0, 1):
+            counts = np.bincount(tokens[0][(np.array(kinds)[tokens[3]] == kind) & (tokens[4] == ac)], minlength=256)
+            fixed = AC if ac else (DC_COUNTS, DC_SYMBOLS)
+            codes[kind, ac] = code_of({int(x): int(counts[x]) for x in np.flatnonzero(counts)} or {0: 1}) if own_code else fixed
+    out = _packed(tokens, np.array(kinds), codes)
     part = lambda marker, data: struct.pack(">BBH", 255, marker, len(data) + 2) + data
     head = b"\xff\xd8" + b"".join(part(0xDB, bytes([i]) + bytes(t[ZIGZAG].tolist())) for i, t in enumerate(tables[: 1 if n == 1 else 2]))
     if not colour and n == 3:
         head += part(0xEE, b"Adobe\0d\0\0\0\0\0")
     head += part(0xC0, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([i + 1, (h << 4 | v) if i == 0 else 0x11, 0 if i == 0 or not colour else 1]) for i in range(n)))
-    head += part(0xC4, b"\0" + DC_COUNTS + DC_SYMBOLS) + part(0xC4, b"\x10" + AC[0] + AC[1])
-    return head + part(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0]) for i in range(n)) + b"\0\x3f\0") + bytes(out) + b"\xff\xd9"
-
-
-def _sized(table: dict, run: int, value: int) -> tuple[int, int]:
-    bits = abs(value).bit_length()
-    length, code = table[run << 4 | bits]
-    return length + bits, code << bits | (value if value >= 0 else value + (1 << bits) - 1)
+    head += b"".join(part(0xC4, bytes([ac << 4 | kind]) + counts + symbols) for (kind, ac), (counts, symbols) in codes.items())
+    return head + part(0xDA, bytes([n]) + b"".join(bytes([i + 1, 17 * k]) for i, k in enumerate(kinds)) + b"\0\x3f\0") + out + b"\xff\xd9"
+
+
+def _tokens(blocks: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """What is coded, in order: symbol, extra bits, their number, component, and 0 for a DC or 1 for an AC symbol.
+
+    blocks: for each component its coefficients in zigzag order, by unit and block of the unit.
+    """
+    sizes = [b.shape[1] for b in blocks]
+    component = np.tile(np.repeat(np.arange(len(blocks)), sizes), blocks[0].shape[0])
+    dc = [np.diff(b[..., 0].reshape(-1), prepend=0).reshape(b.shape[:2]) for b in blocks]
+    first = np.concatenate(dc, 1).reshape(-1)
+    c = np.concatenate(blocks, 1).reshape(-1, 64)
+    at, place = np.nonzero(c[:, 1:])
+    place += 1
+    value = c[at, place]
+    fresh = np.diff(at, prepend=-1) != 0
+    run = place - np.where(fresh, 0, np.concatenate([[0], place[:-1]])) - 1
+    size = lambda v: np.frexp(np.abs(v).astype(np.float64))[1].astype(np.int64)
+    last = np.zeros(len(c), np.int64)
+    last[at] = place  # the greatest comes last
+    ends, long = np.flatnonzero(last < 63), np.repeat(np.arange(len(run)), run // 16)
+    values = np.concatenate([first, value])
+    bits = size(values)
+    none = np.zeros(len(long) + len(ends), np.int64)
+    symbol = np.concatenate([bits[: len(first)], (run % 16) << 4 | bits[len(first) :], np.full(len(long), 0xF0), np.zeros(len(ends), np.int64)])
+    extra = np.concatenate([np.where(values >= 0, values, values + (1 << bits) - 1), none])
+    owner = np.concatenate([np.arange(len(c)), at, at[long], ends])
+    order = np.argsort(owner * 256 + np.concatenate([np.zeros(len(c), np.int64), place * 2 + 1, place[long] * 2, np.full(len(ends), 255)]), kind="stable")
+    ac = np.arange(len(symbol)) >= len(c)
+    return symbol[order], extra[order], np.concatenate([bits, none])[order], component[owner[order]], ac[order].astype(np.int64)
+
+
+def _packed(tokens: tuple[np.ndarray, ...], kinds: np.ndarray, codes: dict[tuple[int, int], tuple[bytes, bytes]]) -> bytes:
+    """The entropy-coded bytes, stuffed, filled up with ones."""
+    symbol, extra, bits, component, ac = tokens
+    length, code = np.zeros((2, 2, 256), np.int64), np.zeros((2, 2, 256), np.int64)
+    for key, table in codes.items():
+        for x, (n, word) in words(*table).items():
+            length[key][x], code[key][x] = n, word
+    kind = kinds[component]
+    total = length[kind, ac, symbol] + bits
+    word = code[kind, ac, symbol] << bits | extra
+    left = np.repeat(np.cumsum(total), total) - 1 - np.arange(total.sum())
+    stream = (np.repeat(word, total) >> left & 1).astype(np.uint8)
+    stream = np.concatenate([stream, np.ones(-len(stream) % 8, np.uint8)])
+    return np.packbits(stream).tobytes().replace(b"\xff", b"\xff\0")
 
 
 def split_tables(data: bytes) -> tuple[bytes, bytes]:
@@ -172,7 +209,7 @@ def decode(data: bytes, colour: bool = False) -> np.ndarray:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                codes[body[0]] = {x: s for s, x in words(body[1:17], body[17 : 17 + n]).items()}
+                codes[body[0]] = bytes(body[1 : 17 + n])
                 body = body[17 + n :]
         elif marker in (0xC0, 0xC1):
             height, width, n = struct.unpack(">HHB", body[1:6])
@@ -189,47 +226,52 @@ def decode(data: bytes, colour: bool = False) -> np.ndarray:
     rows, cols = -(-height // (8 * tall)), -(-width // (8 * high))
     grids = [np.zeros((rows, cols, f[1] * f[2], 64)) for f in frame]
     pieces = _restarts(data[at:])
-    stream, pos, before = pieces[0], 0, [0] * len(frame)
-    piece, lookup = 0, {k: _lookup(x) for k, x in codes.items()}
-
-    def peek() -> int:
-        return int.from_bytes(stream[pos >> 3 : (pos >> 3) + 4].ljust(4, b"\xff"), "big") >> 16 - (pos & 7) & 0xFFFF
-
-    def symbol(table):
-        nonlocal pos
-        found = table[peek()]
-        if found < 0 or pos > 8 * len(stream) + 16:
-            raise UnsupportedFormat("a code that no table has, or data that ends too early")
-        pos += found >> 8
-        return found & 255
-
-    def bits(n):
-        nonlocal pos
-        if not n:
-            return 0
-        got = peek() >> 16 - n
-        pos += n
-        return got if got >> n - 1 else got - (1 << n) + 1
-
-    for m in range(rows * cols):
-        if interval and m and m % interval == 0 and piece + 1 < len(pieces):
-            piece += 1
-            stream, pos, before = pieces[piece], 0, [0] * len(frame)
-        for i, (name, h, v, _) in enumerate(frame):
-            dc, ac = lookup[scan[name] >> 4], lookup[16 | scan[name] & 15]
-            for k in range(h * v):
-                block = grids[i][m // cols, m % cols, k]
-                before[i] += bits(symbol(dc))
-                block[0] = before[i]
-                j = 1
-                while j < 64:
-                    rs = symbol(ac)
-                    if rs == 0:
-                        break
-                    j += rs >> 4
-                    if rs & 15 and j < 64:
-                        block[j] = bits(rs & 15)
-                    j += 1
+    if any(name not in scan or 0x00 | scan[name] >> 4 not in codes or 0x10 | scan[name] & 15 not in codes for name, *_ in frame):
+        raise UnsupportedFormat("a component without a scan or its tables")
+    plan = [(i, h * v, _lookup(codes[scan[name] >> 4]), _lookup(codes[16 | scan[name] & 15])) for i, (name, h, v, _) in enumerate(frame)]
+    places, values = [[] for _ in frame], [[] for _ in frame]
+    units, each = rows * cols, interval or rows * cols
+    for piece, m0 in enumerate(range(0, units, each)):
+        if piece >= len(pieces):
+            raise UnsupportedFormat("data that ends too early")
+        ahead, limit = _ahead(pieces[piece]), 8 * len(pieces[piece]) + 16
+        pos, before = 0, [0] * len(frame)
+        for m in range(m0, min(m0 + each, units)):
+            for i, n_blocks, dc, ac in plan:
+                put, got = places[i].append, values[i].append
+                for k in range(m * n_blocks, (m + 1) * n_blocks):
+                    k *= 64
+                    j, table, stop = 0, dc, k + 64
+                    while j < 64:
+                        seen = ahead[pos >> 3]
+                        found = table[seen >> 24 - (pos & 7) & 0xFFFF]
+                        if found < 0:
+                            raise UnsupportedFormat("a code that no table has")
+                        size, run = found & 15, found >> 4 & 15
+                        used = (pos & 7) + (found >> 8) + size
+                        pos += (found >> 8) + size
+                        value = seen >> 40 - used & (1 << size) - 1
+                        if size and not value >> size - 1:
+                            value -= (1 << size) - 1
+                        if not j:
+                            before[i] += value
+                            put(k)
+                            got(before[i])
+                            table, j = ac, 1
+                        elif size:
+                            j += run
+                            if k + j < stop:
+                                put(k + j)
+                                got(value)
+                            j += 1
+                        elif run == 15:
+                            j += 16
+                        else:
+                            break
+                    if pos > limit:
+                        raise UnsupportedFormat("data that ends too early")
+    for g, where, what in zip(grids, places, values, strict=True):
+        g.reshape(-1)[where] = what
     planes = []
     for (_, h, v, q), g in zip(frame, grids, strict=True):
         c = np.empty_like(g)
@@ -241,14 +283,21 @@ def decode(data: bytes, colour: bool = False) -> np.ndarray:
     return out[..., 0] if len(frame) == 1 else to_rgb(out) if colour and len(frame) == 3 else out
 
 
-def _lookup(table: dict[tuple[int, int], int]) -> list[int]:
-    """By the next 16 bits: length * 256 + symbol, -1 where no code begins so."""
+@lru_cache(64)
+def _lookup(table: bytes) -> list[int]:
+    """By the next 16 bits: length * 256 + symbol, -1 where no code begins so. A DC symbol is its size, at most 15."""
     out = np.full(1 << 16, -1, np.int64)
-    for (length, code), symbol in table.items():
+    for symbol, (length, code) in words(table[:16], table[16:]).items():
         out[code << 16 - length : code + 1 << 16 - length] = length << 8 | symbol
     return out.tolist()
 
 
+def _ahead(piece: bytes) -> list[int]:
+    """For each byte, the 40 bits that begin there; ones after the end, enough for a block of nothing but the longest words."""
+    b = np.frombuffer(piece + b"\xff" * 300, np.uint8).astype(np.int64)
+    return (b[:-4] << 32 | b[1:-3] << 24 | b[2:-2] << 16 | b[3:-1] << 8 | b[4:]).tolist()
+
+
 def _restarts(data: bytes) -> list[bytes]:
     """Entropy-coded data without stuffing, cut at restart markers, up to the end of the scan."""
     out, piece, at = [], bytearray(), 0

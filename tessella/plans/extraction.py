@@ -119,7 +119,7 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
                     pixels = raster.normalize(pixels, target)
                 if (t.out_w, t.out_h) != (t.w, t.h):
                     pixels = raster.resize(pixels, t.out_w, t.out_h)
-                rows.append((*common, None, True, fraction, pixels.shape[1], pixels.shape[0], jpeg.encode(pixels, quality, factors), None))
+                rows.append((*common, None, True, fraction, pixels.shape[1], pixels.shape[0], jpeg.encode(pixels, quality, factors, own_code=True), None))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
         stitch.close()
 
