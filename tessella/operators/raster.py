@@ -65,3 +65,16 @@ def normalize(pixels: np.ndarray, target: tuple[float, ...]) -> np.ndarray:
     x = lab(pixels if pixels.ndim == 3 else np.repeat(pixels[..., None], 3, 2))
     mean, std = x.mean((0, 1)), x.std((0, 1))
     return from_lab((x - mean) * np.where(std <= 1e-6, 1.0, np.array(target[3:]) / np.maximum(std, 1e-12)) + np.array(target[:3]))
+
+
+def stain_stats(pixels: np.ndarray) -> tuple[float, ...]:
+    """An image's means and deviations of Lab: what normalize takes as its target."""
+    x = lab(pixels if pixels.ndim == 3 else np.repeat(pixels[..., None], 3, 2))
+    return tuple(float(v) for v in (*x.mean((0, 1)), *x.std((0, 1))))
+
+
+def thumbnail(pixels: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` pixels on the longer side, the aspect ratio kept; smaller images stay as they are."""
+    h, w = pixels.shape[:2]
+    longer = max(h, w)
+    return pixels if longer <= most else resize(pixels, max(1, round(w * most / longer)), max(1, round(h * most / longer)))

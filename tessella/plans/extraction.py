@@ -57,9 +57,10 @@ def overviews(slides: DataFrame, directory: DataFrame) -> DataFrame:
     return tiles.groupBy("path").applyInPandas(stitch, "path string, ow int, oh int, overview binary, threshold int, error string")
 
 
-def extract(paths: DataFrame, options: Options) -> DataFrame:
+def extract(paths: DataFrame, options: Options, raw: bool = False) -> DataFrame:
     """A row for each tile of the chosen level: slide, level, tile_x, tile_y, origin_x, origin_y, loc_x, loc_y, stage, kept, tissue_fraction, and width, height, jpeg of kept ones; or error.
 
+    raw: the column jpeg holds the pixels instead, row by row, one or three bytes each.
     stage: 1 where the overview dropped a tile, 2 where its pixels did, null where it was kept. A slide's failure never
     ends the job: a slide that can't be read, that hasn't the level, or that has no microns per pixel where they are
     needed, is one row of its path's stem and error; a tile that can't be decoded is a row with its place and error.
@@ -119,7 +120,7 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
                     pixels = raster.normalize(pixels, target)
                 if (t.out_w, t.out_h) != (t.w, t.h):
                     pixels = raster.resize(pixels, t.out_w, t.out_h)
-                rows.append((*common, None, True, fraction, pixels.shape[1], pixels.shape[0], jpeg.encode(pixels, quality, factors, own_code=True), None))
+                rows.append((*common, None, True, fraction, pixels.shape[1], pixels.shape[0], pixels.tobytes() if raw else jpeg.encode(pixels, quality, factors, own_code=True), None))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
         stitch.close()
 
@@ -128,6 +129,8 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
         read = wanted.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "y", "x")
     else:
         read = tiles.where("first").repartition("path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
+    if options.tasks is not None:
+        read = read.coalesce(options.tasks)
     kept = read.mapInArrow(process, out)
     none = {"stage": F.lit(1), "kept": F.lit(False), "tissue_fraction": F.col("overview_fraction"), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "jpeg": F.lit(None).cast("binary"), "error": F.lit(None).cast("string")}
     dropped = tiles.where("not first").drop("width", "height").withColumns(none).select(*kept.columns)
@@ -135,6 +138,42 @@ def extract(paths: DataFrame, options: Options) -> DataFrame:
     return kept.unionByName(dropped).unionByName(failed.select("slide", "error", *none).select(*kept.columns))
 
 
+def stored_tiles(paths: DataFrame, level: int, decode: bool = True) -> DataFrame:
+    """Every stored tile of a level, unfiltered and uncropped: path, slide, level, tile_x, tile_y, width, height, channels, data, error.
+
+    data: the pixels row by row or, without decode, the bytes as stored (width, height and channels are then null). A
+    slide without that level or that can't be read is one row with its error, and so is a tile that can't be decoded.
+    """
+    images = written(wsi.ifds(paths), "images")
+    slides = wsi.slides(images)
+    tiles = _tiles_of(levels(slides).where(F.col("level") == level), wsi.tile_directory(images))
+    names = ["path", "slide", "level", "tile_x", "tile_y"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    schema = pa.schema(list(zip([*names, "width", "height", "channels", "data", "error"], kinds, strict=True)))
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stitch = Stitcher()
+        for part in (p.slice(i, 64) for p in parts for i in range(0, p.num_rows, 64)):
+            rows = []
+            for t in (SimpleNamespace(**r) for r in part.to_pylist()):
+                row = {n: getattr(t, n) for n in names}
+                try:
+                    if decode:
+                        pixels = stitch.stored(t)
+                        row |= {"height": pixels.shape[0], "width": pixels.shape[1], "channels": pixels.size // (pixels.shape[0] * pixels.shape[1]), "data": pixels.tobytes()}
+                    else:
+                        row["data"] = stitch.raw(t)
+                except Exception as e:  # a tile's failure is data: the others go on
+                    row["error"] = f"{type(e).__name__}: {e}"
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+        stitch.close()
+
+    wanted = tiles.select(*names, "photometric", "tables", "offset", "byte_count").repartition("path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
+    out = wanted.mapInArrow(read, "path string, slide string, level int, tile_x bigint, tile_y bigint, width int, height int, channels int, data binary, error string")
+    return out.unionByName(_failed(slides.withColumn("slide", F.struct("path", "slide")), Options(level=level)).select("slide.path", "slide.slide", "error"), allowMissingColumns=True)
+
+
 def _failed(slides: DataFrame, options: Options) -> DataFrame:
     """(slide, error) of slides that can't be read or don't have what the options ask for."""
     wrong = F.col("error")

@@ -57,6 +57,9 @@ class Stitcher:
 
     def stored(self, t, offset: int | None = None, byte_count: int | None = None) -> np.ndarray:
         """A whole stored tile; without a place, the one of the row itself."""
+        return decoded(self.raw(t, offset, byte_count), t.tables, t.photometric)
+
+    def raw(self, t, offset: int | None = None, byte_count: int | None = None) -> bytes:
         if t.path != self.path:
             self.close()
             self.path = t.path
@@ -67,7 +70,7 @@ class Stitcher:
         data = self.file.read(byte_count)
         if len(data) < byte_count:
             raise OSError(f"{t.path}: the tile at {offset} ends too early")
-        return decoded(data, t.tables, t.photometric)
+        return data
 
     def read(self, t, p) -> np.ndarray:
         """The part of a stored tile inside of the level, with three channels."""
