@@ -156,3 +156,20 @@ def test_pipeline_by_brute_force(spark, odd, tmp_path):
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     made = corpus_pipeline.run(spark, write(tmp_path / "empty", []))
     assert made.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(made.columns)
+
+
+def test_language_models_by_brute_force():
+    rows = [r for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist() if r["text"]]
+    learned = [r for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    texts, labels = [r["text"] for r in learned], [r["lang"] for r in learned]
+    models, plain = language_id.fit(texts, labels), PlainModels(texts, labels)
+    asked = [r["text"] for r in rows] + ["", "1 2 3", "日本語", "É" * 50, "a", " ".join(texts)[:100_000] * 3]
+    found, n_letters = models.scores(asked)
+    assert list(models.languages) == plain.languages and found.shape == (len(asked), len(plain.languages))
+    for text, mine, n in zip(asked, found, n_letters, strict=True):
+        want = np.array(plain.entropies(text))
+        assert n == sum(c.isalpha() for c in text.lower())
+        if n:
+            assert np.abs(mine - want).max() < 1e-4, text[:80]
+            first, second = np.sort(want)[:2] if len(want) > 1 else (0, 1)
+            assert second - first < 2e-4 or mine.argmin() == want.argmin()
