@@ -88,7 +88,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", keep_ids:
 
     Whole texts, special strings inside them as the library's default has it (one id each). Null and empty texts have no
     tokens and decode to the empty text. Rows stay apart, repeated ones too; columns of docs with the names of results are
-    replaced. An empty table gives an empty result. No shuffle: a row's result depends on that row alone.
+    replaced. An empty table gives an empty result; very long texts are encoded whole. No shuffle: a row's result depends on that row alone.
     """
     ship(docs.sparkSession)
     table = bytelevel.classes(tokenizer)

@@ -444,7 +444,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5
     lower-cased. With fewer words the whole sequence is the one shingle. Null texts, empty ones and those without words
     have no shingle and link with nothing, not even each other. Repeated rows (equal keys) stay apart as rows, whatever
     their texts. Rows with a null key link like others; component_id is null only where no row of a component has a
-    key. Other columns of docs are left out. An empty table gives an empty result.
+    key. Other columns of docs are left out. An empty table gives an empty result; very long texts take
+    part whole.
 
     frequent: tokens in so large a part of a task's nodes count as frequent; there are at most (mean set size) /
     (frequent * 3 / 4) of them whatever the table's size, so their list is broadcast. Sets are told apart by 64-bit

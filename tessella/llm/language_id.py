@@ -181,8 +181,8 @@ def identify(docs: DataFrame, models: Models | None, text: str = "text", sharpne
     lang_pred: the language of the lowest length-normalised cross-entropy (ties: the first in order of names), und where
     the text is null or has no letter (score 0, rejected). score: the share of that language among all when each counts
     exp(-sharpness * cross-entropy). rejected: und, or a cross-entropy over the language's calibrated limit in a text of
-    40 letters or more. Without models everything is und. Columns of docs with the names of results are replaced. No
-    shuffle; lang, ids and sources are never looked at.
+    40 letters or more. Without models everything is und. Repeated rows are judged alike. Columns of docs with
+    the names of results are replaced. An empty table gives an empty result; very long texts are read whole. No shuffle; lang, ids and sources are never looked at.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -123,8 +123,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     queries: some of the rows of vectors, with the same columns. A query's own key is no candidate. Rows without a key
     and vectors that are null, zero, not of the commonest length, or hold null or non-finite components take no part,
     neither as queries. With fewer candidates than k all are returned. Equal vectors all collide alike, so none of a
-    group of copies is missed. Repeated keys are not told apart. Other columns are left out; empty tables give an empty
-    result.
+    group of copies is missed. Repeated keys are not told apart. Other columns are left out, whatever their names; empty
+    tables give an empty result. Vectors of any length are taken whole.
 
     Every row is indexed. Blocks of vectors meet blocks of queries, so a task holds at most `block` vectors and
     `query_block` queries whatever the table's size; each block gives k rows a query, and the best k of those stay.

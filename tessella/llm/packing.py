@@ -294,8 +294,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
 
     A document is its ids followed by end_id; a null or empty text is end_id alone. Only documents longer than the
     capacity are cut, into pieces of the capacity of which the first may be shorter. Sequences have no gaps. Repeated
-    rows are packed each; ties (equal lengths) go by task and place there. Other columns of docs are left out. An empty
-    table gives an empty result.
+    rows are packed each; ties (equal lengths) go by task and place there. A null key stays null.
+    Other columns of docs are left out, whatever their names. An empty table gives an empty result; very long texts are
+    encoded whole.
 
     The driver sees the histogram of lengths alone: at most `capacity` numbers. Ranks within a length come from counts
     for each task and length; no length's rows ever meet in one task.

@@ -69,7 +69,8 @@ def repetition_rules(docs: DataFrame, text: str = "text", coverage: dict[int, fl
     words inside n-grams found twice or more, first ones included; chars_in_lines: characters of words in lines equal to
     an earlier one. base_failed: n_words < 10, or 100 * n_repeat_words > 20 * n_words. kept: not base_failed, and no
     coverage over its threshold. Null and empty texts have no words, fail and are not kept. Repeated rows are judged
-    alike; columns of docs with the names of results are replaced. No shuffle: a row's verdict depends on that row alone.
+    alike; columns of docs with the names of results are replaced. An empty table gives an empty result; very long texts
+    are judged whole. No shuffle: a row's verdict depends on that row alone.
     """
     ship(docs.sparkSession)
     coverage = dict(coverage or COVERAGE)

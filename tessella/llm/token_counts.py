@@ -38,7 +38,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
     """docs without the text, with n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     Null and empty texts count 0. Special strings inside texts count one each, the library's default. Columns of docs with
-    the names of results are replaced; rows stay apart. No shuffle.
+    the names of results are replaced; rows stay apart, repeated ones too. An empty table gives an empty result; very long
+    texts are counted whole. No shuffle.
     """
     ship(docs.sparkSession)
     table, whole = bytelevel.classes(tokenizer), proved(tokenizer)

@@ -104,7 +104,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", otherwise:
 
     A rule fits its host and all subdomains where the path starts with the rule's. Null urls and those without :// have
     empty host and path, which no rule with a host fits. NUL characters of a url can't stand for the separator: they are
-    read as U+FFFD by the automaton. Columns of pages with the names of results are replaced. No shuffle.
+    read as U+FFFD by the automaton. Columns of pages with the names of results are replaced. Repeated rows are
+    judged alike, very long urls whole; an empty table gives an empty result. No shuffle.
     """
     ship(pages.sparkSession)
     new = ["host", "path", "rule", "verdict"]
