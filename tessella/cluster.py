@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -42,6 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """df over all cores by keys, for rows of few bytes that mean much work: a given number of partitions isn't merged by their size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, survives lost executors and is computed once."""
     spark = df.sparkSession

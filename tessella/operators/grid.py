@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.geometry import int_div
 
 
-def cells(df: DataFrame, columns: Column | str, rows: Column | str, x: str = "tile_x", y: str = "tile_y") -> DataFrame:
-    """A row for each cell of a grid, row by row; none where a side has none."""
+Along = dict[str, Callable[[Column], Column]]
+
+
+def cells(df: DataFrame, columns: Column | str, rows: Column | str, x: str = "tile_x", y: str = "tile_y", of_x: Along | None = None, of_y: Along | None = None) -> DataFrame:
+    """A row for each cell of a grid, row by row; none where a side has none.
+
+    of_x, of_y: further columns, from a cell's column or row alone; worked out once a column or row and not for each cell.
+    """
     c, r = (F.col(n) if isinstance(n, str) else n for n in (columns, rows))
     some = df.withColumns({"_c": c, "_r": r}).where("_c > 0 and _r > 0")
-    some = some.withColumn(y, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_r") - 1)))
-    return some.withColumn(x, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c") - 1))).drop("_c", "_r")
+    sides = [(name, n, of or {}) for name, n, of in ((y, "_r", of_y), (x, "_c", of_x))]
+    some = some.withColumns({f"{n}s": _line(F.col(n), name, of) for name, n, of in sides})
+    for name, n, of in sides:
+        some = some.withColumn(name, F.explode_outer(f"{n}s"))  # none is empty; explode would have a filter work them out before they are dealt out
+    told = [F.col(name)[k].alias(k) for name, _, of in sides if of for k in (name, *of)]
+    return some.select(*df.columns, *(name for name, _, of in sides if not of), *told)
+
+
+def _line(n: Column, name: str, of: Along) -> Column:
+    """0 to n - 1 or, with of, a struct for each of them."""
+    line = F.sequence(F.lit(0).cast("bigint"), n - 1)
+    return F.transform(line, lambda i: F.struct(i.alias(name), *(f(i).alias(k) for k, f in of.items()))) if of else line
 
 
 def overlapped(df: DataFrame, x: str, y: str, w: Column | str, h: Column | str, tile_w: str, tile_h: str, limit: tuple[Column, Column] | None = None) -> DataFrame:
