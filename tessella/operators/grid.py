@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,14 @@ def _line(n: Column, name: str, of: Along) -> Column:
     return F.transform(line, lambda i: F.struct(i.alias(name), *(f(i).alias(k) for k, f in of.items()))) if of else line
 
 
+def looked_up(tiles: DataFrame, index: str, lists: dict[str, str]) -> DataFrame:
+    """tiles with what their row's lists hold at their index; those beyond a list are left out, as by a join with its numbered rows."""
+    at = F.col(index).cast("int")
+    inside = [F.size(c) > F.col(index) for c in lists.values()]
+    found = tiles.where(reduce(lambda a, b: a & b, inside)).withColumns({k: F.get(c, at) for k, c in lists.items()})
+    return found.drop(*lists.values())
+
+
 def overlapped(df: DataFrame, x: str, y: str, w: Column | str, h: Column | str, tile_w: str, tile_h: str, limit: tuple[Column, Column] | None = None) -> DataFrame:
     """A row for each native tile (native_x, native_y) that a rectangle meets, within the level's tiles where limit gives their numbers."""
     out = df

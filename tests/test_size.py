@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from tessella.operators import grid
 from tessella.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,11 @@ def test_bounds_are_dealt_out_and_rounded_by_column_and_row(spark):
     first = next(i for i, line in enumerate(told) if "Repartition" in line)
     assert [i for i, line in enumerate(told) if "round(" in line] == [i for i, line in enumerate(told) if "transform(" in line]  # not of each tile
     assert not any("transform(" in line for line in told[first:])  # nor in the task that reads the small table
+
+
+def test_tiles_look_their_place_up_without_a_join(spark):
+    df = catalog.QUERIES["tile_index_lookup"](spark, SF)
+    assert "Join" not in plan(df) and dealt(spark, "tile_index_lookup") > 1
+    tiles = spark.createDataFrame([(i, [7, None, 9], [1, 2]) for i in range(4)], "tile_index bigint, a array<bigint>, b array<bigint>")
+    assert sorted(map(tuple, grid.looked_up(tiles, "tile_index", {"x": "a"}).select("tile_index", "x").collect())) == [(0, 7), (1, None), (2, 9)]
+    assert grid.looked_up(tiles, "tile_index", {"x": "a", "y": "b"}).count() == 2
