@@ -54,6 +54,18 @@ def overlapped(df: DataFrame, x: str, y: str, w: Column | str, h: Column | str,
     return out
 
 
+def met_by(windows: Column | str, size: Column | str, stride: Column | str, tile: Column | str) -> Column:
+    """Along one side, a struct: pairs of a window and a native tile that it meets, and native_tiles that any meets. One pass over the windows."""
+    n, w, s, t = (F.col(c) if isinstance(c, str) else c for c in (windows, size, stride, tile))
+    zero = F.lit(0).cast("bigint")
+
+    def add(a: Column, i: Column) -> Column:
+        lo, hi = int_div(i * s, t), int_div(i * s + w - 1, t)
+        return F.struct((a["pairs"] + hi - lo + 1).alias("pairs"), (a["native_tiles"] + hi - F.greatest(lo, a["seen"]) + 1).alias("native_tiles"), (hi + 1).alias("seen"))
+
+    return F.aggregate(F.sequence(zero, n - 1), F.struct(zero.alias("pairs"), zero.alias("native_tiles"), zero.alias("seen")), add)
+
+
 def best_level(levels: DataFrame, slide: str, target: Column) -> DataFrame:
     """The coarsest level that is at least as fine as the target, else the finest; null without microns per pixel.
 

@@ -50,3 +50,12 @@ def test_origins_are_dealt_out(spark):
     assert dealt(spark, "tile_origins_centres") > 1
     told = plan(catalog.QUERIES["tile_origins_centres"](spark, SF))
     assert "Repartition" in told and "origin_x" in told[told.index("transform(") :]  # by column, not by tile
+
+
+def test_windows_are_counted_side_by_side(spark):
+    assert "Generate explode(sequence" not in plan(catalog.QUERIES["window_native_overlap"](spark, SF)) and dealt(spark, "window_native_overlap") > 1
+    cases = [(n, w, s, t) for n in (1, 2, 7) for w in (1, 5, 16, 40) for s in (1, 4, 16, 50) for t in (1, 8, 16)]
+    got = spark.createDataFrame(cases, "n bigint, w bigint, s bigint, t bigint").withColumn("m", grid.met_by("n", "w", "s", "t")).collect()
+    for r in got:
+        met = [range(i * r.s // r.t, (i * r.s + r.w - 1) // r.t + 1) for i in range(r.n)]
+        assert (r.m.pairs, r.m.native_tiles) == (sum(map(len, met)), len({x for m in met for x in m}))
