@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.cluster import written
+from tessella.cluster import spread, written
 from tessella.functions.geometry import tiles_across
 from tessella.operators import grid, jpeg
 from tessella.sources import wsi
@@ -118,6 +118,6 @@ def read_regions(paths: DataFrame, regions: DataFrame) -> DataFrame:
         finally:
             stitch.close()
 
-    placed = whole.repartition("path", "level", (F.col("y") / 2048).cast("bigint"), (F.col("x") / 2048).cast("bigint")).sortWithinPartitions("path", "ifd", "y", "x")
+    placed = spread(whole, "path", "level", (F.col("y") / 2048).cast("bigint"), (F.col("x") / 2048).cast("bigint")).sortWithinPartitions("path", "ifd", "y", "x")
     read = placed.mapInArrow(run, "path string, level int, x bigint, y bigint, w bigint, h bigint, pixels binary")
     return read.unionByName(rects.where("w = 0 or h = 0").select(*keys, F.lit(b"").alias("pixels")))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.cluster import ship, shared_folder, written
+from tessella.cluster import ship, shared_folder, spread, written
 from tessella.operators import jpeg
 from tessella.options import Options
 from tessella.plans import extraction, regions
@@ -23,6 +24,12 @@ _SIZE = "select s_suppkey as k, 40 + s_suppkey % 17 as w, 24 + s_suppkey % 11 as
 _TILES = f"s as ({_SIZE}), t as (select *, x::bigint as tile_x, y::bigint as tile_y, (37 * k + 53 * x + 29 * y) % 256 as g from s, unnest(range(0, (w + 15) // 16)) as a(x), unnest(range(0, (h + 15) // 16)) as b(y))"
 
 
+@lru_cache(256)
+def _flat(g: int) -> tuple[bytes, bytes]:
+    """Tables and stored tile of one gray value: made slides have 256 different tiles."""
+    return jpeg.split_tables(jpeg.encode(np.full((SIDE, SIDE, 3), g, np.uint8), 100, (1, 1), colour=False))
+
+
 def slide_bytes(k: int) -> bytes:
     """Slide k: tiles of one gray value each on level 0, one tile on a level at a quarter, and a label."""
     w, h = 40 + k % 17, 24 + k % 11
@@ -32,7 +39,7 @@ def slide_bytes(k: int) -> bytes:
         grays = [(37 * k + 53 * x + 29 * y) % 256 for y in range(down) for x in range(across)]
         tables, tiles = None, []
         for g in grays:
-            tables, tile = jpeg.split_tables(jpeg.encode(np.full((SIDE, SIDE, 3), g, np.uint8), 100, (1, 1), colour=False))
+            tables, tile = _flat(g)
             tiles.append(tile)
         told = f"Made|AppMag = 20|MPP = {MPP}" if d == 1 else "Made"
         images.append({"width": width, "height": height, "description": told, "tile": (SIDE, SIDE), "tiles": tiles, "tables": tables})
@@ -54,7 +61,7 @@ def slide_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 files.put(store, f"{root}/{k}.svs", slide_bytes(k), str(TaskContext.get().taskAttemptId()))
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{k}.svs" for k in part.column("k").to_pylist()])], ["path"])
 
-    made = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).repartition("k")
+    made = spread(v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k")
     return written(made.mapInArrow(run, "path string"), "paths")
 
 

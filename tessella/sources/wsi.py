@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.cluster import ship
+from tessella.cluster import ship, spread
 from tessella.errors import InvalidMetadata, UnsupportedFormat
 from tessella.functions import tags
 from tessella.sources import tiff
@@ -74,7 +74,7 @@ def ifds(paths: DataFrame) -> DataFrame:
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return paths.select("path").mapInArrow(run, f"path string, error string, {IFD}")
+    return spread(paths.select("path"), "path").mapInArrow(run, f"path string, error string, {IFD}")
 
 
 def slides(images_: DataFrame) -> DataFrame:

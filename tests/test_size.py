@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tessella.operators import grid
-from tessella.plans import catalog
+from tessella.plans import catalog, volume
+from tessella.sources import wsi
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,13 @@ def test_valid_sizes_are_dealt_out(spark):
 @pytest.mark.parametrize("name", ["tile_coords", "grid_windows"])
 def test_coordinates_are_dealt_out(spark, name):
     assert dealt(spark, name) > 1
+
+
+def test_made_slides_and_their_tags_are_dealt_out(spark):
+    paths = volume.slide_files(spark, SF)
+    assert paths.select(F.input_file_name()).distinct().count() > 1
+    assert wsi.ifds(paths.coalesce(1)).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_regions_are_dealt_out(spark):
+    assert dealt(spark, "read_region") > 1
