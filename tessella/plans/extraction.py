@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.cluster import written
+from tessella.cluster import spread, written
 from tessella.functions import geometry, tags
 from tessella.operators import grid, jpeg, raster
 from tessella.options import Options
@@ -126,7 +126,7 @@ def extract(paths: DataFrame, options: Options, raw: bool = False) -> DataFrame:
 
     if windowed:
         wanted = with_parts(tiles.where("first"), directory, ["path", "tile_x", "tile_y"])
-        read = wanted.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "y", "x")
+        read = spread(wanted, "path", "chunk").sortWithinPartitions("path", "chunk", "y", "x")
     else:
         read = tiles.where("first").repartition("path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
     if options.tasks is not None:

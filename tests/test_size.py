@@ -81,3 +81,7 @@ def test_made_slides_and_their_tags_are_dealt_out(spark):
 
 def test_regions_are_dealt_out(spark):
     assert dealt(spark, "read_region") > 1
+
+
+def test_windows_are_dealt_out(spark):
+    assert dealt(spark, "grid_extract") > 1
