@@ -128,7 +128,7 @@ def extract(paths: DataFrame, options: Options, raw: bool = False) -> DataFrame:
         wanted = with_parts(tiles.where("first"), directory, ["path", "tile_x", "tile_y"])
         read = spread(wanted, "path", "chunk").sortWithinPartitions("path", "chunk", "y", "x")
     else:
-        read = tiles.where("first").repartition("path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
+        read = spread(tiles.where("first"), "path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
     if options.tasks is not None:
         read = read.coalesce(options.tasks)
     kept = read.mapInArrow(process, out)
@@ -169,7 +169,7 @@ def stored_tiles(paths: DataFrame, level: int, decode: bool = True) -> DataFrame
             yield pa.RecordBatch.from_pylist(rows, schema)
         stitch.close()
 
-    wanted = tiles.select(*names, "photometric", "tables", "offset", "byte_count").repartition("path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
+    wanted = spread(tiles.select(*names, "photometric", "tables", "offset", "byte_count"), "path", geometry.int_div(F.col("tile_y"), 8)).sortWithinPartitions("path", "offset")
     out = wanted.mapInArrow(read, "path string, slide string, level int, tile_x bigint, tile_y bigint, width int, height int, channels int, data binary, error string")
     return out.unionByName(_failed(slides.withColumn("slide", F.struct("path", "slide")), Options(level=level)).select("slide.path", "slide.slide", "error"), allowMissingColumns=True)
 

@@ -85,3 +85,7 @@ def test_regions_are_dealt_out(spark):
 
 def test_windows_are_dealt_out(spark):
     assert dealt(spark, "grid_extract") > 1
+
+
+def test_stored_tiles_are_dealt_out(spark):
+    assert dealt(spark, "svs_extract") > 1
