@@ -145,4 +145,4 @@ def tfrecord_roundtrip(spark, sf_dir):
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["slide", "records", "sum_x", "sum_y", "lo", "hi"])
 
-    return done.select("slide").mapInArrow(run, "slide string, records bigint, sum_x bigint, sum_y bigint, lo int, hi int")
+    return spread(done.select("slide"), "slide").mapInArrow(run, "slide string, records bigint, sum_x bigint, sum_y bigint, lo int, hi int")

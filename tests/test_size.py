@@ -89,3 +89,7 @@ def test_windows_are_dealt_out(spark):
 
 def test_stored_tiles_are_dealt_out(spark):
     assert dealt(spark, "svs_extract") > 1
+
+
+def test_records_are_dealt_out(spark):
+    assert dealt(spark, "tfrecord_roundtrip") > 1
